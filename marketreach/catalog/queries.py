@@ -330,10 +330,9 @@ def _indirect(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     return foco, sellers, stage(indirect.distributor_points(sellers))
 
 
-def _selected(points: DataFrame, share: str = "NATION_1") -> list[str]:
-    """Distributor companies picked by state, the way a user picks some of the list."""
-    rows = points.where(F.startswith(F.col("uf"), F.lit(share))).select("cnpj_basico").distinct()
-    return [r[0] for r in rows.collect()]
+def _selected(points: DataFrame, prefix: str = "NATION_1") -> DataFrame:
+    """Distributor companies of some states, the way a user picks some of the list."""
+    return points.where(F.startswith(F.col("uf"), F.lit(prefix))).select("cnpj_basico")
 
 
 @query

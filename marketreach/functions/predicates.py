@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketreach.functions.text import class_of, norm_keyword, norm_text
+from marketreach.functions.text import BLANKS, class_of, norm_keyword, norm_text
 
 
 def matches_all(filters: Mapping[str, Sequence], columns: Iterable[str] | None = None) -> Column:
@@ -44,7 +44,7 @@ def in_context(served: Column, context: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """Not NULL and not blank."""
-    return F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    return F.length(F.btrim(F.coalesce(c, F.lit("")), F.lit(BLANKS))) > 0
 
 
 def names_any(name: Column, keywords: Iterable[str]) -> Column:

@@ -67,34 +67,43 @@ def distributor_values(rows: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
+def mark_selected(points: DataFrame, selected_roots: Sequence[str] | DataFrame) -> DataFrame:
+    """Adds `selecionado`: the distributor's company is one of the selected ones.
+
+    The companies come as a list, or as a table with column `cnpj_basico` of any size.
+    """
+    if not isinstance(selected_roots, DataFrame):
+        hit = F.coalesce(F.col("cnpj_basico").isin(list(selected_roots)), F.lit(False))
+        return points.withColumn("selecionado", hit)
+    roots = selected_roots.select("cnpj_basico").distinct().withColumn("selecionado", F.lit(True))
+    marked = points.join(roots, "cnpj_basico", "left")
+    return marked.withColumn("selecionado", F.coalesce("selecionado", F.lit(False)))
+
+
 def _nearest(finals: DataFrame, points: DataFrame, names: dict[str, str]) -> DataFrame:
     """Nearest distributor per distinct client point, with its names."""
     hit = nearest_site(finals, points, "cnpj")
-    info = points.select("cnpj", "cnpj_basico", "nome_fantasia", "razao_social")
+    info = points.select("cnpj", *[c for c in names if c in points.columns and c != "cnpj"])
     return hit.join(info, "cnpj").select(
         "lat", "lon", *[F.col(src).alias(dst) for src, dst in names.items()]
     )
 
 
-def _category(radius: float, selected: bool, prioritise: bool, nearest_is_selected: Column) -> Column:
+def _category(radius: float, selected: bool, prioritise: bool) -> Column:
     near = F.coalesce(F.col("dist_km_min") <= radius, F.lit(False))
     if not selected:
         return F.when(near, L.INSIDE).otherwise(L.OUTSIDE)
     if prioritise:
         near_sel = F.coalesce(F.col("dist_km_sel") <= radius, F.lit(False))
         return F.when(near_sel, L.INSIDE).when(near, L.INSIDE_OTHER).otherwise(L.OUTSIDE)
-    return (
-        F.when(~near, L.OUTSIDE)
-        .when(nearest_is_selected, L.INSIDE)
-        .otherwise(L.INSIDE_OTHER)
-    )
+    return F.when(~near, L.OUTSIDE).when(F.col("_ours"), L.INSIDE).otherwise(L.INSIDE_OTHER)
 
 
 def allocate(
     finals: DataFrame,
     points: DataFrame,
     radius_km: float,
-    selected_roots: Sequence[str] | None = None,
+    selected_roots: Sequence[str] | DataFrame | None = None,
     prioritise: bool = False,
 ) -> DataFrame:
     """Nearest distributor, distance and coverage category of every final customer.
@@ -111,20 +120,21 @@ def allocate(
         "razao_social": "razao_distrib",
         "dist_km": "dist_km_min",
     }
-    out = finals.join(_nearest(finals, points, names), ["lat", "lon"], "left")
-    selected = bool(selected_roots)
-    if selected:
-        chosen = points.where(F.col("cnpj_basico").isin(list(selected_roots)))
-        sel_names = {src: _CHOSEN[dst] for src, dst in names.items()}
-        out = out.join(_nearest(finals, chosen, sel_names), ["lat", "lon"], "left")
-        ours = F.col("cnpj_basico_distrib").isin(list(selected_roots))
-    else:
-        out = out.withColumns(
+    selected = isinstance(selected_roots, DataFrame) or bool(selected_roots)
+    if not selected:
+        out = finals.join(_nearest(finals, points, names), ["lat", "lon"], "left").withColumns(
             {c: F.lit(None).cast("double" if c == "dist_km_sel" else "string") for c in _CHOSEN.values()}
         )
-        ours = F.lit(True)
-    out = out.withColumn("atendimento_via", _category(radius_km, selected, prioritise, ours))
-    if selected and prioritise:
+        return out.withColumn("atendimento_via", _category(radius_km, False, False))
+
+    marked = mark_selected(points, selected_roots)
+    chosen_names = {src: _CHOSEN[dst] for src, dst in names.items()}
+    overall = _nearest(finals, marked, {**names, "selecionado": "_ours"})
+    chosen = _nearest(finals, marked.where("selecionado"), chosen_names)
+    hits = overall.join(chosen, ["lat", "lon"], "left")
+    out = finals.join(hits, ["lat", "lon"], "left")
+    out = out.withColumn("atendimento_via", _category(radius_km, True, prioritise)).drop("_ours")
+    if prioritise:
         taken = F.col("atendimento_via") == L.INSIDE
         out = out.withColumns(
             {c: F.when(taken, F.col(s)).otherwise(F.col(c)) for c, s in _CHOSEN.items()}
@@ -138,7 +148,7 @@ def coverage_result(
     field: str,
     values: Sequence,
     radius_km: float,
-    selected_roots: Sequence[str] | None = None,
+    selected_roots: Sequence[str] | DataFrame | None = None,
     prioritise: bool = False,
 ) -> DataFrame:
     """Direct customers and allocated final customers of a market in one table."""

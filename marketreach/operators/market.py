@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketreach import layouts as L
 from marketreach.functions.numeric import GRID_DEGREES, grid_cell
 from marketreach.functions.predicates import has_text, in_context, matches_all, names_any
-from marketreach.functions.text import code_label, words
+from marketreach.functions.text import code_label, is_word, word_array
 from marketreach.operators.counts import distinct_ids, flagged_ids, top
 
 
@@ -140,8 +140,8 @@ def top_places(market: DataFrame, keys: list[str], k: int | None = 10) -> DataFr
 
 def top_words(rows: DataFrame, text: str, k: int = 20, stopwords: Sequence[str] = L.STOPWORDS) -> DataFrame:
     """Most frequent normalised words of a text column."""
-    word = rows.where(F.col(text).isNotNull()).select(
-        F.explode(words(F.col(text), stopwords)).alias("palavra")
+    word = rows.select(F.explode(word_array(F.col(text))).alias("palavra")).where(
+        is_word(F.col("palavra"), stopwords)
     )
     counts = word.groupBy("palavra").agg(F.count(F.lit(1)).alias("freq"))
     return top(counts, "freq", "palavra", k)

@@ -23,7 +23,7 @@ COARSE_DEGREES = 45.0
 ROWS, COLS = 4, 8  # coarsest grid
 MAX_LEVEL = 6  # 45 / 8**6 degrees, about 19 m
 BROADCAST_LEVEL = 2  # at most 256 x 512 = 131,072 cells
-LEAF_SITES = 256
+LEAF_SITES = 512
 _SLACK_KM = 1e-6
 
 
@@ -103,10 +103,13 @@ def _prune(frontier: DataFrame) -> DataFrame:
 
 def _depth(sites: DataFrame, leaf: int) -> tuple[int, int]:
     """Number of sites, and the first level whose fullest cell holds at most `leaf` of them."""
+    n = sites.count()
+    if n <= leaf:
+        return n, 0
     levels = F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))
     keyed = sites.select("s_i", "s_j", levels.alias("level"))
     shift = F.expr(f"3 * ({MAX_LEVEL} - level)")
-    full = (
+    fullest = (
         keyed.groupBy(
             "level",
             F.call_function("shiftright", F.col("s_i"), shift).alias("i"),
@@ -114,13 +117,10 @@ def _depth(sites: DataFrame, leaf: int) -> tuple[int, int]:
         )
         .count()
         .groupBy("level")
-        .agg(F.max("count").alias("fullest"), F.sum("count").alias("n"))
+        .agg(F.max("count").alias("fullest"))
     )
-    found = {r["level"]: r for r in full.collect()}  # one row per level
-    if not found:
-        return 0, 0
-    fits = [k for k in range(MAX_LEVEL + 1) if found[k]["fullest"] <= leaf]
-    return found[0]["n"], (fits[0] if fits else MAX_LEVEL)
+    fits = [r["level"] for r in fullest.collect() if r["fullest"] <= leaf]  # one row per level
+    return n, min(fits, default=MAX_LEVEL)
 
 
 def nearest_site(

@@ -82,7 +82,7 @@ def indirect_report(
     distributor_field: str,
     distributor_values: Sequence,
     radius_km: float = 150.0,
-    selected_roots: Sequence[str] | None = None,
+    selected_roots: Sequence[str] | DataFrame | None = None,
     prioritise: bool = False,
     export_mode: str = "outside",
     export_roots: Sequence[str] = (),

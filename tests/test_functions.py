@@ -46,8 +46,11 @@ def test_norm_matches_keyword_rule(spark):
 
 
 def test_words(spark):
-    got = run(spark, ["A LOJA do José & Cia LTDA - tintas", ""], lambda c: T.words(c, STOPWORDS))
-    assert got == [["loja", "jose", "tintas"], []]
+    def kept(c):
+        return F.filter(T.word_array(c), lambda w: T.is_word(w, STOPWORDS))
+
+    got = run(spark, ["A LOJA do José & Cia LTDA - tintas", "", None], kept)
+    assert got == [["loja", "jose", "tintas"], [], None]
 
 
 def test_split_codes(spark):

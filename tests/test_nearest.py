@@ -93,6 +93,9 @@ def test_allocation_policies(spark):
     assert chosen["f1"].atendimento_via == "Dentro do raio (outros distribuidores)"
     assert chosen["f1"].cnpj_distrib_proximo == "d1" and chosen["f1"].cnpj_distrib_sel == "d2"
 
+    table = spark.createDataFrame([("r2",), ("r2",)], "cnpj_basico string")
+    assert result(selected_roots=table) == chosen
+
     first = result(selected_roots=["r2"], prioritise=True)
     assert first["f1"].atendimento_via == "Dentro do raio (selecionados)"
     assert first["f1"].cnpj_distrib_proximo == "d2" and first["f1"].nome_distrib == "n2"
