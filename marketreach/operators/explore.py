@@ -11,7 +11,7 @@ from marketreach import layouts as L
 from marketreach.functions.predicates import matches_all, mentions, year_between_or_unknown
 from marketreach.functions.text import code_label, described, digits
 from marketreach.operators.counts import top, value_counts
-from marketreach.operators.joins import keep_one
+from marketreach.operators.joins import keep_one, own_exchange
 from marketreach.operators.quantiles import percentiles_by_key
 from marketreach.session import stage
 
@@ -138,7 +138,7 @@ def hierarchy_filter(hierarchy: DataFrame, chosen: Mapping[str, Sequence[str]])
 def rows_of_codes(base: DataFrame, subclasses: DataFrame) -> DataFrame:
     """Register rows whose activity is among the subclasses of the code table."""
     codes = subclasses.select(F.col("subclasse").alias("cnae_principal")).distinct()
-    return base.join(codes, "cnae_principal", "left_semi")
+    return base.join(own_exchange(codes), "cnae_principal", "left_semi")
 
 
 def search_codes(

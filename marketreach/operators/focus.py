@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketreach.functions.numeric import decimal_comma
 from marketreach.functions.predicates import in_classes
 from marketreach.functions.text import class_of, code_label, described, root_of
-from marketreach.operators.joins import keep_one
+from marketreach.operators.joins import keep_one, own_exchange
 from marketreach.operators.ranking import top_per_key
 from marketreach.session import stage
 
@@ -73,7 +73,7 @@ def mark_served(rows: DataFrame, customers: DataFrame) -> DataFrame:
     renames = {
         c: f"cli_{c}" for c in customers.columns if c in rows.columns and c != "cnpj"
     }
-    joined = rows.join(customers.withColumnsRenamed(renames), "cnpj", "left")
+    joined = rows.join(own_exchange(customers.withColumnsRenamed(renames)), "cnpj", "left")
     return joined.withColumn(
         "cliente_atendido", F.coalesce(F.col("cliente_atendido"), F.lit(False))
     )
@@ -92,7 +92,7 @@ def mark_company(rows: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
-    joined = rows.withColumn("_root", root).join(served, "_root", "left")
+    joined = rows.withColumn("_root", root).join(own_exchange(served), "_root", "left")
     return joined.withColumn(
         "empresa_base_atendida", F.coalesce(F.col("_hit"), F.lit(False))
     ).drop("_root", "_hit")

@@ -12,6 +12,7 @@ from marketreach.functions.numeric import decimal_comma, share
 from marketreach.functions.predicates import not_in
 from marketreach.functions.text import company_label
 from marketreach.operators.counts import distinct_ids
+from marketreach.operators.joins import own_exchange
 from marketreach.operators.nearest import nearest_site
 from marketreach.sources.exports import keep_existing
 
@@ -76,7 +77,7 @@ def mark_selected(points: DataFrame, selected_roots: Sequence[str] | DataFrame)
         hit = F.coalesce(F.col("cnpj_basico").isin(list(selected_roots)), F.lit(False))
         return points.withColumn("selecionado", hit)
     roots = selected_roots.select("cnpj_basico").distinct().withColumn("selecionado", F.lit(True))
-    marked = points.join(roots, "cnpj_basico", "left")
+    marked = points.join(own_exchange(roots), "cnpj_basico", "left")
     return marked.withColumn("selecionado", F.coalesce("selecionado", F.lit(False)))
 
 
@@ -122,7 +123,8 @@ def allocate(
     }
     selected = isinstance(selected_roots, DataFrame) or bool(selected_roots)
     if not selected:
-        out = finals.join(_nearest(finals, points, names), ["lat", "lon"], "left").withColumns(
+        hits = own_exchange(_nearest(finals, points, names))
+        out = finals.join(hits, ["lat", "lon"], "left").withColumns(
             {c: F.lit(None).cast("double" if c == "dist_km_sel" else "string") for c in _CHOSEN.values()}
         )
         return out.withColumn("atendimento_via", _category(radius_km, False, False))
@@ -132,7 +134,7 @@ def allocate(
     overall = _nearest(finals, marked, {**names, "selecionado": "_ours"})
     chosen = _nearest(finals, marked.where("selecionado"), chosen_names)
     hits = overall.join(chosen, ["lat", "lon"], "left")
-    out = finals.join(hits, ["lat", "lon"], "left")
+    out = finals.join(own_exchange(hits), ["lat", "lon"], "left")
     out = out.withColumn("atendimento_via", _category(radius_km, True, prioritise)).drop("_ours")
     if prioritise:
         taken = F.col("atendimento_via") == L.INSIDE
@@ -234,5 +236,7 @@ def export_rows(
     firms = points.groupBy(F.col("cnpj_basico").alias("cnpj_basico_distrib")).agg(
         F.min("razao_social").alias("distrib_empresa_mae")
     )
-    named = rows.join(info, "cnpj_distrib_proximo", "left").join(firms, "cnpj_basico_distrib", "left")
+    named = rows.join(own_exchange(info), "cnpj_distrib_proximo", "left").join(
+        own_exchange(firms), "cnpj_basico_distrib", "left"
+    )
     return by_capital(keep_existing(named, L.INDIRECT_EXPORT))

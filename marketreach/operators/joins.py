@@ -12,7 +12,16 @@ BROADCAST_ROWS = 200_000
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when a bounded count proves the relation small; else a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else own_exchange(df)
+
+
+def own_exchange(side: DataFrame) -> DataFrame:
+    """Join side that brings no partitioning of its own.
+
+    A side aggregated by the join key lends its partitioning to the join, and then the other
+    side's hot key cannot be split at run time. One more exchange of one row per key avoids that.
+    """
+    return side.hint("rebalance")
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -36,7 +45,7 @@ def describe(
 
 def only_matching(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows whose `on` is in `ids` (semi join)."""
-    return df.join(ids.select(on).distinct(), on, "left_semi")
+    return df.join(own_exchange(ids.select(on).distinct()), on, "left_semi")
 
 
 def without_matching(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -63,7 +72,7 @@ def attach_place(
     side = keep_one(side, ["_place"], [F.col(code), F.col(lat), F.col(lon)])
     base = df.drop(lat, lon, code)
     keyed = base.withColumn("_place", place_key(F.col(name), F.col(uf)))
-    return keyed.join(side, "_place", "left").drop("_place")
+    return keyed.join(own_exchange(side), "_place", "left").drop("_place")
 
 
 def register_rows(base: DataFrame, ids: DataFrame, key: str = "cnpj") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketreach import layouts as L
 from marketreach.functions.text import cep_prefix, clean_cep
-from marketreach.operators.joins import keep_one, without_matching
+from marketreach.operators.joins import keep_one, own_exchange, without_matching
 
 _NEWEST = ["timestamp", "cep_usado"]
 
@@ -98,7 +98,7 @@ def attach_prefix_coordinates(rows: DataFrame, cache: DataFrame, cep: str = "cep
         F.col("_p.lon").alias("lon_microregiao"),
     )
     base = rows.drop("lat_microregiao", "lon_microregiao", "lat", "lon", "cep5")
-    joined = base.withColumn("_cep5", cep_prefix(F.col(cep))).join(points, "_cep5", "left")
+    joined = base.withColumn("_cep5", cep_prefix(F.col(cep))).join(own_exchange(points), "_cep5", "left")
     joined = joined.drop("_cep5")
     for c in ("lat", "lon"):
         choices = [F.col(f"{c}_microregiao")]

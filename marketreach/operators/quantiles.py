@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketreach.operators.joins import own_exchange
 from marketreach.session import stage
 
 BUCKETS = 128
@@ -49,7 +50,7 @@ def _by_buckets(counts: DataFrame, by: list[str], probs: list[float]) -> DataFra
     """
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", grid, BUCKETS * 10).alias("_cuts"))
-    cut = counts.join(cuts, by).withColumn(
+    cut = counts.join(own_exchange(cuts), by).withColumn(
         "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
     ).drop("_cuts")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketreach.functions.numeric import decimal_comma, percent
 from marketreach.operators.counts import distinct_ids, top
+from marketreach.operators.joins import only_matching, own_exchange
 from marketreach.operators.ranking import top_per_key
 from marketreach.sources.snapshots import LABEL
 
@@ -21,8 +22,8 @@ def segment_rows(company: str, name: str, segment: str, segments: Sequence) -> C
 
 def ids_with_code(ids: DataFrame, base: DataFrame, code: str, key: str = "cnpj") -> DataFrame:
     """The given ids whose register activity is `code`."""
-    wanted = base.where(F.col("cnae_principal") == code).select(key)
-    return ids.select(key).distinct().join(wanted, key, "left_semi")
+    rows = only_matching(base.where(F.col("cnae_principal") == code), ids, key)
+    return rows.select(key).distinct()
 
 
 def membership(
@@ -94,7 +95,8 @@ def region_listing(members: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def region_rows(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Original rows with the region of their id."""
-    return rows.join(members.where(F.col("regiao") > 0).select(key, "regiao"), key)
+    inside = members.where(F.col("regiao") > 0).select(key, "regiao")
+    return rows.join(own_exchange(inside), key)
 
 
 def region_top(
@@ -126,7 +128,7 @@ def top_codes(rows: DataFrame, key: str = "cnpj", k: int = 5) -> DataFrame:
 
 def top_codes_of_ids(ids: DataFrame, base: DataFrame, key: str = "cnpj", k: int = 10) -> DataFrame:
     """Most frequent register activities of an id set."""
-    rows = base.join(ids.select(key).distinct(), key, "left_semi")
+    rows = only_matching(base, ids, key)
     return top_codes(rows, key, k)
 
 
@@ -147,7 +149,7 @@ def apply_labels(
     """
     base = rows if label in rows.columns else rows.withColumn(label, F.lit(None).cast("string"))
     new = labels.groupBy(key).agg(F.min("rotulo").alias("_new"))
-    joined = base.join(new, key, "left")
+    joined = base.join(own_exchange(new), key, "left")
     free = F.lit(True) if overwrite else F.col(label).isNull()
     chosen = F.when(F.col("_new").isNotNull() & free, F.col("_new")).otherwise(F.col(label))
     return joined.withColumn(label, chosen).drop("_new").select(*base.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketreach import layouts as L
 from marketreach.functions.numeric import decimal_comma
 from marketreach.functions.text import split_codes
-from marketreach.operators.joins import register_rows, with_id
+from marketreach.operators.joins import own_exchange, register_rows, with_id
 
 MAX_SEGMENTS = 10
 
@@ -35,7 +35,7 @@ def enrich_all(upload: DataFrame, base: DataFrame, key: str, value: str | None =
         totals = rows.groupBy("_id").agg(
             F.coalesce(F.sum(f"`{value}`"), F.lit(0.0)).alias("VALOR_TOTAL")
         )
-        out = out.join(totals, "_id", "left")
+        out = out.join(own_exchange(totals), "_id", "left")
     return out.drop("_id")
 
 

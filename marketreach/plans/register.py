@@ -11,7 +11,7 @@ from marketreach import layouts as L
 from marketreach.functions.numeric import decimal_comma, register_date, small_int
 from marketreach.functions.predicates import is_active
 from marketreach.functions.text import pad_code
-from marketreach.operators.joins import describe, keep_one
+from marketreach.operators.joins import describe, keep_one, own_exchange
 from marketreach.session import tune
 from marketreach.sources.exports import write_table
 from marketreach.sources.register import load_lookups, read_register, read_simples
@@ -25,7 +25,7 @@ WIDE_FROM_HIERARCHY = L.HIERARCHY[:8]
 
 
 def unique_codes(lookup: DataFrame) -> DataFrame:
-    return keep_one(lookup, ["codigo"], [F.col("descricao")])
+    return own_exchange(keep_one(lookup, ["codigo"], [F.col("descricao")]))
 
 
 def companies(raw: DataFrame, lookups: Mapping[str, DataFrame]) -> DataFrame:
@@ -124,7 +124,7 @@ def wide_table(
     if dedupe:
         side = keep_one(side, ["cnpj_basico"], [F.col(c) for c in firm])
         lookups = {name: unique_codes(df) for name, df in lookups.items()}
-    out = est.join(side, "cnpj_basico", "left")
+    out = est.join(own_exchange(side) if dedupe else side, "cnpj_basico", "left")
 
     if simples is None:
         types = {c: "timestamp" if c in SIMPLES_DATES else "string" for c in L.SIMPLES[1:]}
@@ -132,7 +132,9 @@ def wide_table(
     else:
         regime = simples
         if dedupe:
-            regime = keep_one(simples, ["cnpj_basico"], [F.col(c) for c in L.SIMPLES[1:]])
+            regime = own_exchange(
+                keep_one(simples, ["cnpj_basico"], [F.col(c) for c in L.SIMPLES[1:]])
+            )
         out = out.join(regime, "cnpj_basico", "left")
 
     described = {
@@ -151,7 +153,9 @@ def wide_table(
     if hierarchy is not None:
         side = hierarchy.select(F.col("subclasse").alias("cnae_principal"), *WIDE_FROM_HIERARCHY)
         if dedupe:
-            side = keep_one(side, ["cnae_principal"], [F.col(c) for c in WIDE_FROM_HIERARCHY])
+            side = own_exchange(
+                keep_one(side, ["cnae_principal"], [F.col(c) for c in WIDE_FROM_HIERARCHY])
+            )
         out = out.join(side, "cnae_principal", "left")
         levels = WIDE_FROM_HIERARCHY
     return out.select(*est.columns, *firm, *names, *L.SIMPLES[1:], *levels)

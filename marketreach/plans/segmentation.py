@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketreach.functions.numeric import decimal_comma
 from marketreach.operators import segments
-from marketreach.operators.joins import with_id
+from marketreach.operators.joins import own_exchange, with_id
 from marketreach.session import tune
 from marketreach.sources.snapshots import LABEL, save_version, with_label_column
 
@@ -60,7 +60,7 @@ def overlap(
         work = with_id(rows, key)
         ids = segments.ids_with_code(work.select(F.col("_id").alias("cnpj")), base, code)
         hits = ids.select(F.col("cnpj").alias("_id"), F.lit(True).alias("_c"))
-        work = work.join(hits, "_id", "left")
+        work = work.join(own_exchange(hits), "_id", "left")
         in_c = F.col("_c")
     amount = decimal_comma(F.col(value)) if value else None
     return segments.membership(work, key, in_a, in_b, in_c, amount)
