@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
     "pareto_abc_shown": _pareto("n_cnpjs", shown=True),
     "subclass_totals": _sql(
         """
-        SELECT t.cnae_principal, t.cnae_principal_desc, n_total, n_atend, CAST(posicao AS INTEGER) AS posicao,
+        SELECT t.cnae_principal, t.cnae_principal_desc, n_total, n_atend, CAST(coalesce(posicao, 0) AS INTEGER) AS posicao,
                round(coalesce(n_cnpjs / (SELECT greatest(sum(n_cnpjs), 1) FROM codes_n) * 100, 0), 6) AS pct_carteira,
                coalesce(posicao <= 10, false) AS pre_selecionada
         FROM (SELECT cnae_principal, cnae_principal_desc, count(DISTINCT cnpj) AS n_total,

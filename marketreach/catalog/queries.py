@@ -97,7 +97,9 @@ def subclass_totals(spark, folder):
     foco = V.foco(spark, folder)
     portfolio = ranking.client_codes(foco, matches_all(CONTEXT))
     out = market.subclass_choices(market.subclass_totals(foco), portfolio)
-    return out.withColumn("pct_carteira", F.round("pct_carteira", 6))
+    return out.withColumns(
+        {"pct_carteira": F.round("pct_carteira", 6), "posicao": F.coalesce("posicao", F.lit(0))}
+    )
 
 
 @query
