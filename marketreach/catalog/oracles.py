@@ -261,6 +261,13 @@ SQL: dict[str, str] = {
            FROM matched GROUP BY ALL""",
         MATCHED,
     ),
+    "upload_top_codes": _sql(
+        """(SELECT *, 'clientes' AS criterio FROM t ORDER BY n DESC, rotulo LIMIT 10)
+           UNION ALL (SELECT *, 'valor' FROM t ORDER BY valor DESC, rotulo LIMIT 10)""",
+        MATCHED,
+        """t AS (SELECT cnae_principal || ' · ' || left(cnae_principal_desc, 55) AS rotulo, count(*) AS n,
+                 round(sum(valor), 2) AS valor FROM matched GROUP BY ALL)""",
+    ),
     "combined_score": _sql(
         """SELECT cnae_principal, n, round(v, 2) AS valor, round(n / max(n) OVER () + v / max(v) OVER (), 6) AS score
            FROM (SELECT cnae_principal, count(*) AS n, sum(valor) AS v FROM matched GROUP BY 1)""",
@@ -343,6 +350,14 @@ SQL: dict[str, str] = {
         FROM cat_sel WHERE NOT cliente_atendido AND dr IS NOT NULL GROUP BY dr""",
         INDIRECT,
     ),
+    "distributor_choices": _sql(
+        """
+        SELECT dr AS cnpj_basico_distrib,
+               left(min(dn), 50) || '  /  ' || left(coalesce(min(nf), ''), 30) || '  [' || dr || ']' AS rotulo
+        FROM (SELECT c.dr, p.razao_social AS dn, p.nome_fantasia AS nf
+              FROM cat_all c JOIN points p ON p.cnpj = c.dc WHERE NOT c.cliente_atendido) GROUP BY dr""",
+        INDIRECT,
+    ),
     "indirect_export": _sql(
         """
         SELECT cnpj, razao_social, capital_social, via AS atendimento_via, dc AS cnpj_distrib_proximo,

@@ -225,6 +225,16 @@ def labelled_codes(spark, folder):
     return out.withColumn("valor", money("valor"))
 
 
+@query
+def upload_top_codes(spark, folder):
+    """Ten labelled codes with most customer rows, and ten with most value."""
+    rows = focus.label_codes(_matched(spark, folder), V.hierarchy(spark, folder))
+    totals = uploads.code_totals(rows, "rotulo", "valor")
+    by_n = counts.top(totals, "n", "rotulo", 10).withColumn("criterio", F.lit("clientes"))
+    by_v = counts.top(totals, "valor", "rotulo", 10).withColumn("criterio", F.lit("valor"))
+    return by_n.unionByName(by_v).withColumn("valor", money("valor"))
+
+
 @query
 def combined_score(spark, folder):
     totals = uploads.code_totals(_matched(spark, folder), "cnae_principal", "valor")
@@ -382,6 +392,11 @@ def clients_per_distributor(spark, folder):
     return indirect.clients_per_distributor(*_coverage(spark, folder, False, True))
 
 
+@query
+def distributor_choices(spark, folder):
+    return indirect.distributor_choices(_coverage(spark, folder, False, False)[0])
+
+
 @query
 def indirect_export(spark, folder):
     out = indirect.export_rows(*_coverage(spark, folder, False, False), mode="outside")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketreach import layouts as L
 from marketreach.functions.numeric import decimal_comma, share
 from marketreach.functions.predicates import not_in
-from marketreach.functions.text import company_label
+from marketreach.functions.text import company_label, partner_label
 from marketreach.operators.counts import distinct_ids
 from marketreach.operators.joins import own_exchange
 from marketreach.operators.nearest import nearest_site
@@ -207,6 +207,15 @@ def clients_per_distributor(
     )
 
 
+def distributor_choices(result: DataFrame) -> DataFrame:
+    """Distributors that have clients, labelled for picking an export."""
+    firms = result.where(F.col("cnpj_basico_distrib").isNotNull()).groupBy("cnpj_basico_distrib").agg(
+        F.min("razao_distrib").alias("_name"), F.min("nome_distrib").alias("_trade")
+    )
+    label = partner_label(F.col("_name"), F.col("_trade"), F.col("cnpj_basico_distrib"))
+    return firms.select("cnpj_basico_distrib", label.alias("rotulo")).orderBy("cnpj_basico_distrib")
+
+
 def by_capital(df: DataFrame, k: int | None = None) -> DataFrame:
     """Highest capital first; a capital that is no number counts as 0."""
     if "capital_social" not in df.columns:

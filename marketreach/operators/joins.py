@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketreach.functions.text import clean_id, place_key, root_of
+from marketreach.functions.text import clean_id, place_key
 
 BROADCAST_ROWS = 200_000
 
@@ -87,7 +87,3 @@ def register_rows(base: DataFrame, ids: DataFrame, key: str = "cnpj") -> DataFra
 def with_id(df: DataFrame, key: str, alias: str = "_id") -> DataFrame:
     """Adds the normalised 14-digit id."""
     return df.withColumn(alias, clean_id(F.col(f"`{key}`")))
-
-
-def with_root(df: DataFrame, cnpj: str = "cnpj", alias: str = "_root") -> DataFrame:
-    return df.withColumn(alias, root_of(F.col(cnpj)))

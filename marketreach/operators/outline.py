@@ -12,21 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketreach import layouts as L
 from marketreach.functions.text import digits
 from marketreach.operators.joins import keep_one
 
 CHUNK_LINES = 10_000
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-# Heading patterns of the published outline.
-HEADINGS = {
-    "secao": r"(?iu)^SEÇ[ÃA]O\s+([A-Z])\s*[-–]\s*(.+)$",
-    "divisao": r"(?iu)^DIVIS[ÃA]O\s+(\d{2})\s*[-–]\s*(.+)$",
-    "grupo": r"(?iu)^GRUPO\s+(\d{2}[.,]\d)\s*[-–]\s*(.+)$",
-    "classe": r"(?iu)^CLASSE\s+(\d{4}[-/]\d)\s*[-–]\s*(.+)$",
-    "subclasse": r"^(\d{4}[-/]\d[/]\d{2}|\d{7})\s*[-–]\s*(.+)$",
-}
-
 
 def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """`doc, line_no, line` from whole texts."""
@@ -36,25 +28,25 @@ def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def _tagged(lines: DataFrame, chunk_lines: int) -> DataFrame:
     """Line kind, chunk and one struct column per level (NULL off its headings)."""
-    line = F.btrim("line", F.lit(" \t\r\n\x0b\x0c"))
+    line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
     rows = lines.select(
         "doc", F.col("line_no").cast("long").alias("line_no"), line.alias("line")
     ).where(F.length("line") > 0)
     kind = F.lit(None).cast("string")
-    for level, pattern in reversed(HEADINGS.items()):
+    for level, pattern in reversed(L.HEADINGS.items()):
         kind = F.when(F.col("line").rlike(pattern), level).otherwise(kind)
     rows = rows.withColumn("kind", kind).withColumn(
         "chunk", F.floor(F.col("line_no") / chunk_lines)
     )
 
     def heading(level: str) -> Column:
-        part = [F.trim(F.regexp_extract("line", HEADINGS[level], i)) for i in (1, 2)]
+        part = [F.trim(F.regexp_extract("line", L.HEADINGS[level], i)) for i in (1, 2)]
         return F.when(
             F.col("kind") == level,
             F.struct(F.col("line_no").alias("at"), part[0].alias("cod"), part[1].alias("nome")),
         )
 
-    return rows.withColumns({level: heading(level) for level in HEADINGS})
+    return rows.withColumns({level: heading(level) for level in L.HEADINGS})
 
 
 def parse_outline(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -62,7 +54,7 @@ def parse_outline(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame
 
     `lines` holds `doc, line_no, line`; line numbers order a document.
     """
-    levels = list(HEADINGS)
+    levels = list(L.HEADINGS)
     rows = _tagged(lines, chunk_lines)
     chunks = rows.groupBy("doc", "chunk").agg(*[F.max(v).alias(f"_{v}") for v in levels])
     earlier = Window.partitionBy("doc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -102,6 +102,7 @@ def indirect_report(
         "distribuidores": indirect.distributor_values(sellers, points),
         "indicadores": indirect.category_shares(result),
         "por_distribuidor": indirect.clients_per_distributor(result, points, ufs),
+        "escolha_distribuidor": indirect.distributor_choices(result),
         "densidade": cells,
         "densidade_limite": market.density_cap(cells, ["atendimento_via"], at_least_one=False),
         "exportacao": indirect.export_rows(result, points, export_mode, export_roots),

@@ -49,6 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
+    folder = folder or context.getCheckpointDir()
     if folder:
         return folder
     if not context.master.startswith("local"):
