@@ -408,6 +408,11 @@ SQL: dict[str, str] = {
         GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5""",
         VENN,
     ),
+    "segment_sizes": _sql(
+        """SELECT 'A' AS conjunto, count(DISTINCT cnpj) AS n_cnpjs FROM seg WHERE ia
+           UNION ALL SELECT 'B', count(DISTINCT cnpj) FROM seg WHERE ib""",
+        VENN,
+    ),
     "segment_apply": _sql(
         "SELECT rotulo, count(*) AS qtd, round_even(count(*) / (SELECT count(*) FROM lab) * 100, 1) AS pct FROM lab GROUP BY rotulo",
         VENN, LABELLED,

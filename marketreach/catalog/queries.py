@@ -475,6 +475,17 @@ def segment_top_codes(spark, folder):
     return segments.merge_tops(top_a, top_b)
 
 
+@query
+def segment_sizes(spark, folder):
+    """Distinct ids of the two company segments."""
+    rows = _segment_rows(spark, folder)
+    parts = [
+        segments.segment_size(rows, mask).withColumn("conjunto", F.lit(name))
+        for mask, name in zip(_masks()[:2], "AB")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def segment_apply(spark, folder):
     rows = _segment_rows(spark, folder)

@@ -24,11 +24,6 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def served_in_context(foco: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
-    """Served rows inside the context."""
-    return foco.where(F.col("cliente_atendido") & matches_all(filters))
-
-
 def market_rows(
     foco: DataFrame,
     codes: Sequence[str] | None = None,

@@ -67,12 +67,6 @@ def pareto_abc(
     return out.orderBy(*order).limit(k) if k else out
 
 
-def ranked(codes: DataFrame, metric: str = "n_cnpjs", tie: str = "cnae_principal") -> DataFrame:
-    """Position of each code in the portfolio, 1 = first."""
-    order = Window.orderBy(F.desc(metric), F.asc(tie))
-    return codes.withColumn("posicao", F.row_number().over(order))
-
-
 def class_totals(rows: DataFrame, value: str, cls: str = "classe") -> DataFrame:
     """Matched rows and summed value per class, from one aggregation."""
     return rows.groupBy(cls).agg(

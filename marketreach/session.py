@@ -46,17 +46,16 @@ def local_session(cpus: int = 8, app: str = "marketreach") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, or a temporary one in local mode."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    folder = folder or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="marketreach-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if named:
+        return named
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="marketreach-"))
+    return context.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -79,11 +79,6 @@ def test_score_without_positive_value(spark):
     assert {r.k: r.score for r in ranking.combined_score(df, "k").collect()} == {"a": 1.0, "b": 0.5}
 
 
-def test_ranked(spark):
-    df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 9)], "cnae_principal string, n_cnpjs int")
-    assert [r.cnae_principal for r in ranking.ranked(df).orderBy("posicao").collect()] == ["c", "a", "b"]
-
-
 def test_top_per_key_is_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     out = ranking.top_per_key(df, ["k"], [F.desc("id")], 2)

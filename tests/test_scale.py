@@ -65,11 +65,17 @@ def test_company_mark_splits_a_hot_root(spark, rows):
 def test_company_join_splits_a_hot_root(spark, rows):
     missing = ["capital_social", "porte", "porte_desc", "natureza_juridica", "qualificacao_responsavel"]
     firms = rows.select("cnpj_basico").distinct().withColumn("razao_social", F.md5("cnpj_basico"))
+    dates = {c: F.lit(None).cast("timestamp") for c in register.SIMPLES_DATES}
+    regime = rows.select("cnpj_basico").distinct().withColumns(
+        {"opcao_simples": F.lit("S"), "opcao_mei": F.lit("N"), **dates}
+    )
+    regime = stage(regime)
     firms = stage(firms.withColumns({c: F.lit(None).cast("string") for c in missing}))
     with settings(spark, TINY):
         for dedupe in (False, True):
-            out, plan = collect_plan(register.wide_table(rows, firms, {}, dedupe=dedupe))
-            assert "skew=true" in plan and len(out) == ROWS and all(r.razao_social for r in out)
+            out, plan = collect_plan(register.wide_table(rows, firms, {}, regime, dedupe=dedupe))
+            assert plan.split("Initial Plan")[0].count("SortMergeJoin(skew=true)") == 2
+            assert len(out) == ROWS and all(r.razao_social and r.opcao_mei == "N" for r in out)
 
 
 def test_upload_totals_with_a_hot_customer(spark, rows):
