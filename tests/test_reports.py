@@ -91,3 +91,18 @@ def test_density_uses_half_even_cells(spark):
     cells = spark.createDataFrame([("a", 0), ("b", 4)], "k string, n int")
     low = {r.k: r.limite for r in market.density_cap(cells, ["k"], at_least_one=False).collect()}
     assert low == {"a": 1.0, "b": 4.0}
+
+
+def test_scans_read_only_what_a_report_needs(foco):
+    from marketreach.operators import counts, indirect
+
+    def scan(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "FileScan" in line]
+
+    rows = scan(indirect.distributors(foco, "canal", ["1-URGENT"]).select("cnpj"))
+    assert len(rows) == 1 and "EqualTo(cliente_atendido,true)" in rows[0] and "EqualTo(canal,1-U" in rows[0]
+    assert "ReadSchema: struct<cnpj:string,canal:string,cliente_atendido:boolean>" in rows[0]
+    kpi = scan(counts.coverage(foco))
+    assert len(kpi) == 1
+    assert "ReadSchema: struct<cnpj:string,cnpj_basico:string,cliente_atendido:boolean>" in kpi[0]
