@@ -34,6 +34,7 @@ def map_texts(
     function: Callable[[list], dict[str, object]],
     schema: str,
     raw: bool = False,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """`keep` columns beside what `function` returns for a list of texts.
 
@@ -48,7 +49,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, hidden):
+            for part in slices(batch, hidden, limit):
                 values = part.column(hidden)
                 found = function((values.cast(pa.binary()) if raw else values).to_pylist())
                 columns = [part.column(c) for c in keep]

@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from marketreach.llm import decontaminate, language, pieces, secrets, simhash
+from marketreach.llm import (
+    chats,
+    decontaminate,
+    language,
+    licenses,
+    pieces,
+    planes,
+    quality,
+    secrets,
+    simhash,
+    urls,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_secrets": secrets.op2_secrets,
+    "op3_licenses": licenses.op3_licenses,
     "op4_language": language.op4_language,
+    "op5_urls": urls.op5_urls,
+    "op6_chats": chats.op6_chats,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_planes": planes.op9_planes,
+    "op10_quality": quality.op10_quality,
 }
 
-SQL = {"op2_secrets": secrets.SQL}
+SQL = {
+    "op2_secrets": secrets.SQL,
+    "op3_licenses": licenses.SQL,
+    "op5_urls": urls.SQL,
+    "op6_chats": chats.SQL,
+    "op10_quality": quality.SQL,
+}
