@@ -21,7 +21,7 @@ NORM = (
 MATCHED = """
 matched AS (SELECT u.*, e.cnae_principal, e.cnae_principal_desc, left(e.cnae_principal, 4) AS classe,
                    e.uf, e.municipio_nome, e.razao_social, e.porte_desc
-            FROM upload u JOIN est e USING (cnpj)),
+            FROM upload u LEFT JOIN est e USING (cnpj)),
 classes AS (SELECT classe, count(*) AS n, sum(valor) AS v FROM matched GROUP BY classe),
 acc AS (SELECT *, sum(n) OVER (ORDER BY n DESC, classe) / sum(n) OVER () AS cn,
                sum(v) OVER (ORDER BY v DESC, classe) / sum(v) OVER () AS cv,
@@ -323,7 +323,7 @@ SQL: dict[str, str] = {
         "SELECT count(*) AS linhas, count(DISTINCT cnpj) AS distintos, count(DISTINCT cnpj) < count(*) AS tem_repetidos FROM upload"
     ),
     "upload_filters": _sql(
-        """SELECT count(*) AS filtradas, count(*) FILTER (uf <> 'NATION_3') AS com_cnae, count(*) FILTER (uf = 'NATION_3') AS sem_cnae
+        """SELECT count(*) AS filtradas, count(cnae_principal) AS com_cnae, count(*) - count(cnae_principal) AS sem_cnae
            FROM matched WHERE canal IN ('1-URGENT', '5-LOW')""",
         MATCHED,
     ),

@@ -29,7 +29,6 @@ from marketreach.plans import register
 from marketreach.plans.reports import Cleaning, cleaned_market
 from marketreach.session import stage, tune
 from marketreach.sources import snapshots
-from marketreach.sources.register import inventory, list_files
 from marketreach.sources.uploads import numeric_shares
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,7 +323,7 @@ def upload_duplicates(spark, folder):
 def upload_filters(spark, folder):
     """Classification filters on the list; matched and unmatched rows."""
     rows = V.upload(spark, folder).where(matches_all({"canal": ["1-URGENT", "5-LOW"], "segmento": []}))
-    out = uploads.enrich(rows, V.est(spark, folder).where(F.col("uf") != "NATION_3"), "CNPJ")
+    out = uploads.enrich(rows, V.est(spark, folder), "CNPJ")
     return out.agg(
         F.count(F.lit(1)).alias("filtradas"),
         F.count_if(F.col("cnae_principal").isNotNull()).alias("com_cnae"),
@@ -812,7 +811,7 @@ def _outline_lines(spark, folder) -> DataFrame:
 
 @query
 def outline_filldown(spark, folder):
-    out = outline.parse_outline(_outline_lines(spark, folder), chunk_lines=10_000_000_000)
+    out = outline.parse_outline(_outline_lines(spark, folder))
     return out.select(
         "doc", "secao_cod", "secao_nome", "divisao_cod", "divisao_nome", "grupo_cod", "grupo_nome",
         "classe_cod", "subclasse_cod", "subclasse_nome", "notas_explicativas",
@@ -822,18 +821,12 @@ def outline_filldown(spark, folder):
 @query
 def outline_editions(spark, folder):
     """Editions merged: for a repeated code the later document wins."""
-    records = outline.parse_outline(_outline_lines(spark, folder), chunk_lines=10_000_000_000)
+    records = outline.parse_outline(_outline_lines(spark, folder))
     records = records.withColumn("edition", F.expr("cast(substring(doc, 4) as int)"))
     best = outline.merge_editions(records, "edition")
     return best.select("subclasse_cod_num", "doc", "subclasse_nome")
 
 
-@query
-def landing_inventory(spark, folder):
-    """Files of the folder by kind."""
-    return inventory(list_files(spark, folder))
-
-
 @query
 def served_share(spark, folder):
     """Share of served rows per state, rounded half to even."""

@@ -1,8 +1,9 @@
 """Register-shaped views derived from the whole driver tables.
 
-`VIEWS_SQL` states the same views for the SQL side. Customers stand for establishments (three per
-company), parts give trade names and activity codes, and the customer list holds every order from
-2001 on, with ids and amounts written the way uploads write them.
+`VIEWS_SQL` states the same views for the SQL side. Every part stands for an establishment; the customer
+with its key, if there is one, gives name, capital, size and state. Companies hold one establishment in
+997, so that served and unserved ones share companies and towns. The customer list holds every order, with
+ids and amounts written the way uploads write them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from marketreach.functions.text import class_of
 from marketreach.operators.focus import mark_company, mark_served
 from marketreach.operators.uploads import per_customer
 
-SINCE = "2001-01-01"
+ROOTS = 997  # companies per block of a thousand establishments each
 SELLER = ["1-URGENT"]
 
 
@@ -58,8 +59,9 @@ def codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cnpj(k: str):
-    root = F.lpad(F.expr(f"cast({k} div 3 as string)"), 8, "0")
-    order = F.lpad(F.expr(f"cast({k} % 3 + 1 as string)"), 4, "0")
+    """Root and id of an establishment; `VIEWS_SQL` has the same rule in `_CNPJ`."""
+    root = F.lpad(F.expr(f"cast(({k} div {ROOTS * 1000}) * {ROOTS} + {k} % {ROOTS} as string)"), 8, "0")
+    order = F.lpad(F.expr(f"cast(({k} % {ROOTS * 1000}) div {ROOTS} + 1 as string)"), 4, "0")
     check = F.lpad(F.expr(f"cast({k} % 97 as string)"), 2, "0")
     return root, F.concat(root, order, check)
 
@@ -71,7 +73,9 @@ def est(
     own = codes(spark, folder)
     customer = table(spark, folder, "customer").withColumnRenamed("c_custkey", "k")
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    rows = customer.join(nation, "c_nationkey").join(own.withColumnRenamed("pk", "k"), "k")
+    rows = own.withColumnRenamed("pk", "k").join(customer, "k", "left")
+    rows = rows.withColumn("c_nationkey", F.coalesce("c_nationkey", (F.col("k") % 25).cast("int")))
+    rows = rows.join(nation, "c_nationkey")
     more = []
     if secondary:
         for shift in (1, 2):
@@ -96,7 +100,7 @@ def est(
         "k",
         root.alias("cnpj_basico"),
         cnpj.alias("cnpj"),
-        F.col("c_name").alias("razao_social"),
+        F.coalesce("c_name", "p_name").alias("razao_social"),
         F.when(k % 11 == 0, None).when(k % 13 == 0, "  ").otherwise(F.col("p_name")).alias("nome_fantasia"),
         F.col("c_acctbal").alias("capital_social"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Micro Empresa")
@@ -117,7 +121,7 @@ def est(
 
 def upload(spark: SparkSession, folder: str) -> DataFrame:
     """Customer list: punctuated ids, decimal-comma amounts, several rows per id."""
-    orders = table(spark, folder, "orders").where(F.col("o_orderdate") >= F.lit(SINCE).cast("timestamp_ntz"))
+    orders = table(spark, folder, "orders")
     root, cnpj = _cnpj("o_custkey")
     written = F.concat(
         F.substring(cnpj, 1, 8), F.lit("/"), F.substring(cnpj, 9, 4), F.lit("-"), F.substring(cnpj, 13, 2)
@@ -198,17 +202,22 @@ def cache(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-VIEWS_SQL = """
+_ROOT = f"lpad(CAST((k // {ROOTS * 1000}) * {ROOTS} + k % {ROOTS} AS VARCHAR), 8, '0')"
+_CNPJ = (
+    f"{_ROOT} || lpad(CAST((k % {ROOTS * 1000}) // {ROOTS} + 1 AS VARCHAR), 4, '0')"
+    " || lpad(CAST(k % 97 AS VARCHAR), 2, '0')"
+)
+VIEWS_SQL = f"""
 kinds AS (SELECT p_type, lpad(CAST(row_number() OVER (ORDER BY p_type) AS VARCHAR), 3, '0') AS t
           FROM (SELECT DISTINCT p_type FROM part)),
 codes AS (SELECT p_partkey AS pk, p_name, '47' || lpad(substr(p_brand, 7, 2), 2, '0') || t AS code,
                  p_type || ' ' || p_brand AS code_desc
           FROM part JOIN kinds USING (p_type)),
 opened AS (SELECT o_custkey AS k, min(o_orderdate) AS d FROM orders GROUP BY o_custkey),
-ids AS (SELECT c_custkey AS k, lpad(CAST(c_custkey // 3 AS VARCHAR), 8, '0') AS root,
-               lpad(CAST(c_custkey // 3 AS VARCHAR), 8, '0') || lpad(CAST(c_custkey % 3 + 1 AS VARCHAR), 4, '0')
-               || lpad(CAST(c_custkey % 97 AS VARCHAR), 2, '0') AS cnpj FROM customer),
-est AS (SELECT k, root AS cnpj_basico, cnpj, c_name AS razao_social,
+ids AS (SELECT *, {_ROOT} AS root, {_CNPJ} AS cnpj
+        FROM (SELECT p_partkey AS k, c_name, c_acctbal, c_mktsegment, coalesce(c_nationkey, p_partkey % 25) AS c_nationkey
+              FROM part LEFT JOIN customer ON c_custkey = p_partkey)),
+est AS (SELECT k, root AS cnpj_basico, cnpj, coalesce(c_name, own.p_name) AS razao_social,
                CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '  ' ELSE own.p_name END AS nome_fantasia,
                c_acctbal AS capital_social,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'Micro Empresa' WHEN 'MACHINERY' THEN 'Empresa de Pequeno Porte'
@@ -221,11 +230,11 @@ est AS (SELECT k, root AS cnpj_basico, cnpj, c_name AS razao_social,
                opened.d AS data_inicio_atividade,
                CASE WHEN k % 50 <> 0 THEN -30e0 + c_nationkey * 1.2e0 + (k % 20) * 0.13e0 END AS lat,
                CASE WHEN k % 50 <> 0 THEN -60e0 + (c_nationkey % 5) * 4e0 + (k % 20) * 0.17e0 END AS lon
-        FROM customer JOIN ids ON ids.k = c_custkey JOIN nation ON n_nationkey = c_nationkey
+        FROM ids JOIN nation ON n_nationkey = c_nationkey
         JOIN codes own ON own.pk = k LEFT JOIN codes s1 ON s1.pk = k + 1 LEFT JOIN codes s2 ON s2.pk = k + 2
         LEFT JOIN opened USING (k)),
-upload AS (SELECT o_orderkey AS linha, cnpj, o_totalprice AS valor, o_orderpriority AS canal, o_orderstatus AS segmento
-           FROM orders JOIN ids ON ids.k = o_custkey WHERE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00'),
+upload AS (SELECT o_orderkey AS linha, {_CNPJ} AS cnpj, o_totalprice AS valor, o_orderpriority AS canal, o_orderstatus AS segmento
+           FROM (SELECT *, o_custkey AS k FROM orders)),
 customers AS (SELECT cnpj, sum(valor) AS v, arg_min(canal, linha) AS canal, arg_min(segmento, linha) AS segmento
               FROM upload GROUP BY cnpj),
 marked AS (SELECT est.*, customers.v AS relevancia_valor, customers.canal, customers.segmento,
