@@ -18,6 +18,7 @@ repeat an id are in order of their ids' checksum; an empty table gives no shard;
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,9 +37,12 @@ MAGIC = b"IDPLANE1"
 CHUNK = 1 << 16
 LEVEL = 3
 END = 1
-HELD = 150_000  # words a task remembers
+HELD = 600_000  # words a task remembers
+JOINED = 256  # words encoded as one text
 BATCH = 4096
 SLICE = 1_000_000
+ENDS = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")  # a sign the tokenizer cuts off anyway
+MARK = "\x01"  # between words of one text; a word of its own, with an id that no other word has
 
 
 def default_tokenizer() -> str:
@@ -59,36 +63,70 @@ class Words:
         return cls._made[path]
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case ASCII words are the same before and after the normaliser
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = normalizers.Sequence([])
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.held: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str], light: bool = False) -> list[np.ndarray]:
+        tokenizer = self.light if light else self.tokenizer
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.width) for x in found]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words: many as one text where its marks cut it into as many pieces."""
+        alone = [w for w in words if MARK in w or "<|" in w]  # a special token is found in raw text only
+        rest = [w for w in words if MARK not in w and "<|" not in w]
+        plain = [w for w in rest if w.isascii() and w == w.lower()]
+        (mark,) = self._ids([MARK])
+        for light, chosen in ((True, plain), (False, list(set(rest) - set(plain)))):
+            for at in range(0, len(chosen), BATCH):
+                part = chosen[at : at + BATCH]
+                groups = [part[i : i + JOINED] for i in range(0, len(part), JOINED)]
+                for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups], light)):
+                    cuts = np.flatnonzero(ids == mark[0]).tolist() if len(mark) == 1 else []
+                    if len(cuts) == len(group) - 1:
+                        bounds = zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])
+                        self.held.update((w, ids[a:b].tobytes()) for w, (a, b) in zip(group, bounds))
+                    else:
+                        alone += group
+        for at in range(0, len(alone), BATCH):
+            part = alone[at : at + BATCH]
+            self.held.update((w, ids.tobytes()) for w, ids in zip(part, self._ids(part)))
+
+    @staticmethod
+    def _words(text: str | None) -> list[str]:
+        """Words cut at blanks and line ends only; other white space is left to the tokenizer."""
+        text = text or ""
+        if text.isascii() and "<|" not in text:
+            text = ENDS.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and the end id, as unsigned 32-bit little-endian integers."""
-        # cut at blanks and line ends only; other white space is left to the tokenizer
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        """Ids of each text and the end id, as unsigned little-endian integers of `width`."""
+        parts = [self._words(t) for t in texts]
         new = set().union(*parts) - self.held.keys()
         if len(self.held) + len(new) > HELD:
             self.held = {}
             new = set().union(*parts)
-        fresh = list(new)
-        for at in range(0, len(fresh), BATCH):
-            part = fresh[at : at + BATCH]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.held[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn(list(new))
         get = self.held.__getitem__
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], self.width).tobytes()
         return [b"".join(map(get, p)) + end for p in parts]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (binary, unsigned 32-bit little-endian, with the end id)."""
+    """doc_id, ids (with the end id) and width, their NumPy type: 16 bits if the vocabulary allows."""
 
     def run(texts: list) -> dict:
-        return {"ids": Words.of(path).encode(texts)}
+        words = Words.of(path)
+        return {"ids": words.encode(texts), "width": [words.width] * len(texts)}
 
-    return map_texts(docs, ["doc_id"], "text", run, "ids binary", limit=SLICE)
+    return map_texts(docs, ["doc_id"], "text", run, "ids binary, width string", limit=SLICE)
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -159,7 +197,7 @@ class Shard:
 
 
 def write(encoded: DataFrame, folder: str, bits: bool = False) -> DataFrame:
-    """Write `encoded` (doc_id, ids) as shards below `folder`; returns the manifest.
+    """Write `encoded` (doc_id, ids, width) as shards below `folder`; returns the manifest.
 
     Manifest: shard, path, n_docs, n_ids and first (ids of all shards before it).
     """
@@ -175,8 +213,8 @@ def write(encoded: DataFrame, folder: str, bits: bool = False) -> DataFrame:
                     path = f"{folder}/{number:06d}-{uuid.uuid4().hex}.planes"
                     stream = system.open_output_stream(_place(path)[1], compression=None)
                     shard = Shard(stream, bits)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), part.column("ids")):
-                    shard.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"))
+                for doc_id, ids, width in zip(*(part.column(c) for c in ("doc_id", "ids", "width"))):
+                    shard.add(doc_id.as_py(), np.frombuffer(ids.as_buffer(), width.as_py()).astype("<u4"))
         if shard is not None:
             shard.close()
             stream.close()
@@ -186,10 +224,10 @@ def write(encoded: DataFrame, folder: str, bits: bool = False) -> DataFrame:
 
     # equal rows may not fill one shard: the last key tells them apart
     keyed = encoded.select(
-        "doc_id", "ids", F.crc32("ids").alias("c"), F.monotonically_increasing_id().alias("k")
+        "doc_id", "ids", "width", F.crc32("ids").alias("c"), F.monotonically_increasing_id().alias("k")
     )
     order = [F.asc_nulls_first("doc_id"), "c", "k"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "width")
     manifest = stage(ranged.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
