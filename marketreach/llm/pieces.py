@@ -4,8 +4,9 @@ The model protobuf is parsed here; from it a tokenizer is rebuilt: normaliser, t
 blanks, unigram scores or BPE merges (whichever the model holds) and byte fallback. No piece of a model
 that splits at blanks has a marker after other characters, so a text falls into segments (markers, then
 the rest) that are encoded one by one; tasks keep the ids of segments they have met. Each new segment
-goes through the tokenizer in multithreaded batches, and its ids and its decoded text are compared with
-the sentencepiece library; where the two differ, sentencepiece's ids are used and the text is marked.
+goes through the tokenizer in multithreaded batches, and its ids are compared with those of the
+sentencepiece library; where the two differ, sentencepiece's are used and the text is marked. Every
+text is decoded again and compared with what went in.
 Models with other normalisers are encoded text by text, with the same comparison.
 
 Defined cases: a null text is an empty one and has no ids; repeated rows each get a row; an empty table
@@ -17,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,7 +30,10 @@ from marketreach.llm.arrow import map_texts
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
 UNIGRAM, BPE = 1, 2  # model types of the format
-HELD = 200_000  # segments a task remembers
+HELD = 400_000  # segments a task remembers
+BATCH = 4096  # segments encoded at a time
+JOINED = 256  # segments encoded as one text; a piece with a marker starts the next one
+SLICE = 1_000_000  # bytes of text encoded at a time
 THREADS = 2
 
 
@@ -161,16 +166,29 @@ class Codec:
             else p.replace(MARK, " ").encode()
             for p, _, k in self.model.pieces
         ]
-        self.held: dict[str, tuple[int, ...]] = {}
-        self.odd: set[str] = set()  # segments whose ids or decoded text differed
-
-    def _verified(self, texts: list[str]) -> list[tuple[tuple[int, ...], bool]]:
-        """Ids of each text, and whether both libraries gave the same ids and text."""
-        ours = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        theirs = self.check.encode(texts, num_threads=self.threads)
-        back = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
-        same = [a == b and c == self.decode(a) for a, b, c in zip(ours, theirs, back)]
-        return [(tuple(a if ok else b), ok) for a, b, ok in zip(ours, theirs, same)]
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.held: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # segments whose ids differed
+
+    def _verified(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Ids of each text, and whether both libraries gave the same."""
+        for at in range(0, len(texts), BATCH):
+            part = texts[at : at + BATCH]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            theirs = self.check.encode(part, num_threads=self.threads)
+            yield from ((np.array(b, np.int32), a == b) for a, b in zip(ours, theirs))
+
+    def _joined(self, segments: list[str]) -> Iterator[tuple[str, np.ndarray, bool]]:
+        """Segments without blanks and their ids, encoded many at a time."""
+        for at in range(0, len(segments), BATCH):
+            part = segments[at : at + BATCH]
+            groups = [part[i : i + JOINED] for i in range(0, len(part), JOINED)]
+            for group, (ids, ok) in zip(groups, self._verified([" ".join(g) for g in groups])):
+                starts = np.flatnonzero(self.marked[ids]).tolist()
+                if ok and len(starts) == len(group):
+                    yield from ((g, ids[a:b], True) for g, a, b in zip(group, starts, [*starts[1:], None]))
+                else:
+                    yield from ((g, *found) for g, found in zip(group, self._verified(group)))
 
     def _segments(self, text: str) -> list[str]:
         """Segments without their first marker, blanks for further ones."""
@@ -184,8 +202,8 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether the two libraries agreed on all of it."""
         if not self.segmented:
-            found = self._verified(texts)
-            return [np.array(i, np.int32) for i, _ in found], [ok for _, ok in found]
+            found = list(self._verified(texts))
+            return [i for i, _ in found], [ok for _, ok in found]
         parts = [self._segments(t) for t in texts]
         new = set().union(*parts) - self.held.keys()
         if len(self.held) + len(new) > HELD:
@@ -194,15 +212,17 @@ class Codec:
         if "" in new:  # a lone marker
             mark = self.model.ids.get(MARK)
             ids = (mark,) if mark is not None else tuple(self.check.encode(" ")[1:])
-            self.held[""] = ids
+            self.held[""] = np.array(ids, np.int32).tobytes()
             new.discard("")
-        fresh = list(new)
-        for segment, (ids, ok) in zip(fresh, self._verified(fresh) if fresh else []):
-            self.held[segment] = ids
+        plain = [s for s in new if " " not in s]
+        spaced = [s for s in new if " " in s]
+        found = chain(self._joined(plain), ((s, *f) for s, f in zip(spaced, self._verified(spaced))))
+        for segment, ids, ok in found:
+            self.held[segment] = ids.tobytes()
             if not ok:
                 self.odd.add(segment)
         get = self.held.__getitem__
-        ids = [np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in parts]
+        ids = [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
         return ids, [not self.odd or self.odd.isdisjoint(p) for p in parts]
 
     def decode(self, ids) -> str:
@@ -227,7 +247,7 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, threads: i
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
         return {"ids": lists, "parity": same, "lossless": back}
 
-    return map_texts(docs, keep, "text", run, "ids array<int>, parity boolean, lossless boolean")
+    return map_texts(docs, keep, "text", run, "ids array<int>, parity boolean, lossless boolean", limit=SLICE)
 
 
 def decode(rows: DataFrame, keep: list[str], path: str | None = None, threads: int = THREADS) -> DataFrame:
