@@ -37,7 +37,7 @@ MAGIC = b"IDPLANE1"
 CHUNK = 1 << 16
 LEVEL = 3
 END = 1
-HELD = 600_000  # words a task remembers
+HELD = 1_200_000  # words a task remembers
 JOINED = 256  # words encoded as one text
 BATCH = 4096
 SLICE = 1_000_000
