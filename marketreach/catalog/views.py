@@ -49,6 +49,7 @@ def codes(spark: SparkSession, folder: str) -> DataFrame:
     return part.join(kinds, "p_type").select(
         F.col("p_partkey").alias("pk"),
         "p_name",
+        "p_retailprice",
         F.concat(
             F.lit("47"),
             F.lpad(F.substring("p_brand", 7, 2), 2, "0"),
@@ -102,7 +103,7 @@ def est(
         cnpj.alias("cnpj"),
         F.coalesce("c_name", "p_name").alias("razao_social"),
         F.when(k % 11 == 0, None).when(k % 13 == 0, "  ").otherwise(F.col("p_name")).alias("nome_fantasia"),
-        F.col("c_acctbal").alias("capital_social"),
+        F.coalesce("c_acctbal", "p_retailprice").alias("capital_social"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Micro Empresa")
         .when(F.col("c_mktsegment") == "MACHINERY", "Empresa de Pequeno Porte")
         .when(F.col("c_mktsegment") == "AUTOMOBILE", "Demais")
@@ -215,7 +216,7 @@ codes AS (SELECT p_partkey AS pk, p_name, '47' || lpad(substr(p_brand, 7, 2), 2,
           FROM part JOIN kinds USING (p_type)),
 opened AS (SELECT o_custkey AS k, min(o_orderdate) AS d FROM orders GROUP BY o_custkey),
 ids AS (SELECT *, {_ROOT} AS root, {_CNPJ} AS cnpj
-        FROM (SELECT p_partkey AS k, c_name, c_acctbal, c_mktsegment, coalesce(c_nationkey, p_partkey % 25) AS c_nationkey
+        FROM (SELECT p_partkey AS k, c_name, coalesce(c_acctbal, p_retailprice) AS c_acctbal, c_mktsegment, coalesce(c_nationkey, p_partkey % 25) AS c_nationkey
               FROM part LEFT JOIN customer ON c_custkey = p_partkey)),
 est AS (SELECT k, root AS cnpj_basico, cnpj, coalesce(c_name, own.p_name) AS razao_social,
                CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '  ' ELSE own.p_name END AS nome_fantasia,
