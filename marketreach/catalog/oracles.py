@@ -446,7 +446,7 @@ SQL: dict[str, str] = {
     ),
     "explore_distributions": _sql(
         """
-        (SELECT 'uf' AS tipo, uf AS valor, count(*) AS qtd FROM expl GROUP BY uf ORDER BY qtd DESC, uf LIMIT 27)
+        (SELECT 'uf' AS tipo, uf AS valor, count(*) AS qtd FROM expl GROUP BY uf)
         UNION ALL SELECT 'porte', coalesce(porte_desc, 'Não Informado'), count(*) FROM est GROUP BY 2
         UNION ALL SELECT 'ano', CAST(year(data_inicio_atividade) AS VARCHAR), count(*) FROM expl
                   WHERE year(data_inicio_atividade) >= 1970 GROUP BY 2

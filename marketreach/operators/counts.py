@@ -51,21 +51,25 @@ def value_counts(df: DataFrame, column: str | Column, alias: str, count: str = "
 def coverage(df: DataFrame, cnpj: str = "cnpj", root: str = "cnpj_basico") -> DataFrame:
     """One row of coverage indicators: establishments and companies, total, served, percent.
 
-    An establishment belongs to one company, so ids roll up to roots and roots to the total
-    without a second copy of the rows.
+    The rows collapse once to (root, id); establishments are then counted by id and companies by root,
+    so an id under several roots, or beside a row without root, counts once.
     """
     flag = F.coalesce(F.col(SERVED), F.lit(False))
-    by_id = df.groupBy(root, cnpj).agg(F.max(flag).alias("_served"))
-    by_root = by_id.groupBy(root).agg(
-        F.count(F.col(cnpj)).alias("_n"),
-        F.sum(F.when(F.col(cnpj).isNotNull(), F.col("_served").cast("long"))).alias("_ns"),
-        F.max("_served").alias("_any"),
+    pairs = df.groupBy(root, cnpj).agg(F.max(flag).alias("_served"))
+    sides = F.array(
+        F.struct(F.lit(True).alias("_is_id"), F.col(cnpj).cast("string").alias("_key")),
+        F.struct(F.lit(False).alias("_is_id"), F.col(root).cast("string").alias("_key")),
     )
-    totals = by_root.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("cnpjs"),
-        F.coalesce(F.sum("_ns"), F.lit(0)).alias("cnpjs_atendidos"),
-        F.count(F.col(root)).alias("empresas"),
-        F.count_if(F.col("_any") & F.col(root).isNotNull()).alias("empresas_atendidas"),
+    each = pairs.select(F.explode(sides).alias("_s"), "_served").select("_s.*", "_served")
+    keys = each.where(F.col("_key").isNotNull()).groupBy("_is_id", "_key").agg(
+        F.max("_served").alias("_served")
+    )
+    is_id = F.col("_is_id")
+    totals = keys.agg(
+        F.count_if(is_id).alias("cnpjs"),
+        F.count_if(is_id & F.col("_served")).alias("cnpjs_atendidos"),
+        F.count_if(~is_id).alias("empresas"),
+        F.count_if(~is_id & F.col("_served")).alias("empresas_atendidas"),
     )
 
     def pct(part: str, whole: str) -> Column:

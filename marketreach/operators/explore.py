@@ -48,8 +48,10 @@ def indicators(rows: DataFrame) -> DataFrame:
     )
 
 
-def by_uf(rows: DataFrame, k: int = 27) -> DataFrame:
-    return top(value_counts(rows.where(F.col("uf").isNotNull()), "uf", "uf"), "qtd", "uf", k)
+def by_uf(rows: DataFrame) -> DataFrame:
+    """Rows of every state, the most frequent first."""
+    known = rows.where(F.col("uf").isNotNull())
+    return value_counts(known, "uf", "uf").orderBy(F.desc("qtd"), "uf")
 
 
 def by_size(rows: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def direct_report(foco: DataFrame, options: Cleaning) -> dict[str, DataFrame]:
     cells = market.density(missing)
     return {
         "indicadores": counts.coverage(rows),
-        "cnpj_uf": market.served_by_key(rows, ["uf"]),
-        "empresa_uf": market.served_by_key(rows, ["uf"], "cnpj_basico"),
+        "cnpj_uf": market.served_by_key(rows, ["uf"], k=None),
+        "empresa_uf": market.served_by_key(rows, ["uf"], "cnpj_basico", k=None),
         "cnpj_cidade": market.served_by_key(rows, ["municipio_nome"], k=20),
         "empresa_cidade": market.served_by_key(rows, ["municipio_nome"], "cnpj_basico", 20),
         "densidade": cells,

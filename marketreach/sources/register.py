@@ -5,29 +5,58 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from marketreach import layouts as L
 
+DROPPED = "_dropped"
 
-def read_register(
-    spark: SparkSession, folder: str, columns: list[str], pattern: str = "*.csv"
-) -> DataFrame:
-    """All files of a folder as text columns; rows with too few or too many fields are dropped.
 
-    Column pruning is off for this reader: a pruned parse cannot see that a row is malformed.
-    """
+def _csv(spark: SparkSession, line_breaks: bool, pattern: str) -> DataFrameReader:
+    """Reader of register files. Column pruning is off: a pruned parse cannot see a malformed row."""
     return (
-        spark.read.schema(L.text_schema(columns))
-        .option("sep", ";")
+        spark.read.option("sep", ";")
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "ISO-8859-1")
-        .option("mode", "DROPMALFORMED")
         .option("columnPruning", "false")
+        .option("multiLine", str(line_breaks).lower())
         .option("pathGlobFilter", pattern)
-        .csv(folder)
+    )
+
+
+def read_register(
+    spark: SparkSession,
+    folder: str,
+    columns: list[str],
+    pattern: str = "*.csv",
+    line_breaks: bool = False,
+) -> DataFrame:
+    """All files of a folder as text columns; rows with too few or too many fields are dropped.
+
+    `malformed` gives the dropped rows. With `line_breaks`, quoted fields may hold line breaks; each
+    file is then read by one task.
+    """
+    reader = _csv(spark, line_breaks, pattern).schema(L.text_schema(columns))
+    return reader.option("mode", "DROPMALFORMED").csv(folder)
+
+
+def malformed(
+    spark: SparkSession,
+    folder: str,
+    columns: list[str],
+    pattern: str = "*.csv",
+    line_breaks: bool = False,
+) -> DataFrame:
+    """`file, record`: what `read_register` drops from the same files."""
+    schema = L.text_schema([*columns, DROPPED])
+    reader = _csv(spark, line_breaks, pattern).schema(schema)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DROPPED).csv(folder)
+    # Spark refuses a query that needs nothing but the record, so a field takes part: none is longer
+    held = F.length(DROPPED) >= F.length(F.coalesce(columns[0], F.lit("")))
+    return rows.where(F.col(DROPPED).isNotNull() & held).select(
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col(DROPPED).alias("record")
     )
 
 

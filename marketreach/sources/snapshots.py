@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,8 @@ META = T.StructType(
 
 
 def data_path(root: str, project: str, version: int) -> str:
-    return f"{root}/data/project={project}/version={version:03d}"
+    """Folder of a version; any project name is safe in it."""
+    return f"{root}/data/project={quote(project, safe='')}/version={version:03d}"
 
 
 def meta_path(root: str) -> str:
@@ -37,7 +39,9 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of every version; empty when nothing was saved yet."""
     try:
         return spark.read.schema(META).parquet(meta_path(root))
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], META)
 
 
@@ -103,11 +107,22 @@ def save_version(
     previous: int | None = None,
     label: str = LABEL,
 ) -> int:
-    """Write the next version and its metadata row; a version is never overwritten."""
+    """Write the next version and its metadata row; a version is never overwritten.
+
+    A number whose folder exists without a metadata row, left by a save that failed, is skipped.
+    """
     spark = df.sparkSession
     version = next_version(spark, root, project)
-    path = data_path(root, project, version)
-    label_last(df, label).write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    while True:
+        path = data_path(root, project, version)
+        writer = label_last(df, label).write.mode("errorifexists").option("compression", "snappy")
+        try:
+            writer.parquet(path)
+            break
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            version += 1
 
     saved = spark.read.parquet(path)
     changed = 0

@@ -3,34 +3,50 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketreach.functions.numeric import decimal_comma
+from marketreach.sources.register import list_files
 
 ROW_ORDER = "_row"
 
 
-def sniff_separator(spark: SparkSession, path: str, sample: int = 20) -> str:
-    """Separator that splits every sampled line into the same, largest number of fields."""
-    lines = [r["value"] for r in spark.read.text(path).limit(sample).collect() if r["value"]]
-    best, fields = ",", 0
-    for sep in (";", ",", "\t", "|"):
-        counts = Counter(line.count(sep) for line in lines)
-        if len(counts) == 1 and next(iter(counts)) > fields:
-            best, fields = sep, next(iter(counts))
-    return best
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """The separator that the header line holds most often outside quotes; a comma if none does."""
+    header = spark.read.text(path).where(F.trim("value") != "").first()
+    bare = re.sub(r'"[^"]*"', "", header["value"]) if header else ""
+    return max(",;\t|", key=bare.count)
 
 
-def read_upload(spark: SparkSession, path: str, row_order: bool = False) -> DataFrame:
-    """Upload as text columns; `row_order` adds the reading order as column `_row`."""
-    if path.lower().endswith(".parquet"):
+def holds_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a file, or a file in a folder, is named as Parquet."""
+    return not list_files(spark, path, "*.parquet").isEmpty()
+
+
+def read_upload(
+    spark: SparkSession,
+    path: str,
+    row_order: bool = False,
+    fmt: str | None = None,
+    line_breaks: bool = False,
+) -> DataFrame:
+    """Upload as text columns; `row_order` adds the reading order as column `_row`.
+
+    `fmt` is `csv` or `parquet`, by default what the file names say. With `line_breaks`, quoted
+    fields may hold line breaks; each file is then read by one task.
+    """
+    if (fmt or ("parquet" if holds_parquet(spark, path) else "csv")) == "parquet":
         df = spark.read.parquet(path)
     else:
         df = spark.read.csv(
-            path, header=True, sep=sniff_separator(spark, path), inferSchema=False, escape='"'
+            path,
+            header=True,
+            sep=sniff_separator(spark, path),
+            inferSchema=False,
+            escape='"',
+            multiLine=line_breaks,
         )
     return df.withColumn(ROW_ORDER, F.monotonically_increasing_id()) if row_order else df
 

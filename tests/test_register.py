@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marketreach import layouts as L
 from marketreach.plans import register
-from marketreach.sources.register import inventory, list_files, load_lookups, read_register
+from marketreach.sources.register import inventory, list_files, load_lookups, malformed, read_register
 
 
 def write(path, lines):
@@ -158,3 +158,18 @@ def test_null_root_stays_unmatched(spark):
     )
     got = {r.cnpj: r.razao_social for r in register.wide_table(est, emp, {}).collect()}
     assert got == {"a": None, "b": "y"}
+
+
+def test_no_record_is_dropped_unseen(spark, landing, tmp_path):
+    columns = ["a", "b", "c", "d", "e", "f", "g"]
+    folder = str(landing / "empresas")
+    dropped = malformed(spark, folder, columns).collect()
+    assert sorted((r.file, r.record) for r in dropped) == [
+        ("Empresas0.csv", '"curta";"so dois"'), ("Empresas0.csv", '"longa";"a";"b";"c";"1,0";"05";"";"extra"'),
+    ]
+    write(tmp_path / "quoted" / "q.csv", ['"1";"duas', 'linhas"', '"2";"uma"'])
+    where = str(tmp_path / "quoted")
+    whole = read_register(spark, where, ["a", "b"], line_breaks=True)
+    assert sorted(tuple(r) for r in whole.collect()) == [("1", "duas\nlinhas"), ("2", "uma")]
+    assert malformed(spark, where, ["a", "b"], line_breaks=True).count() == 0
+    assert malformed(spark, where, ["a", "b"]).count() > 0

@@ -94,3 +94,12 @@ def test_a_version_is_never_overwritten(spark, rows, tmp_path):
     snapshots.save_version(rows, root, "p", "x", "linha")
     with pytest.raises(Exception, match="already exists"):
         rows.write.mode("errorifexists").parquet(snapshots.data_path(root, "p", 0))
+
+
+def test_a_failed_save_blocks_no_later_one(spark, rows, tmp_path):
+    root = str(tmp_path / "v")
+    assert snapshots.save_version(rows, root, "a/b = c", "x", "linha") == 0
+    rows.write.parquet(snapshots.data_path(root, "a/b = c", 1))  # died before its metadata row
+    assert snapshots.save_version(rows, root, "a/b = c", "y", "linha", previous=0) == 2
+    assert snapshots.load_version(spark, root, "a/b = c", 2).count() == rows.count()
+    assert [r.version for r in snapshots.list_versions(spark, root, "a/b = c").collect()] == [2, 0]

@@ -39,10 +39,22 @@ def test_separator_is_found(spark, tmp_path, sep):
     assert [r["Meu CNPJ"] for r in df.orderBy("_row").collect()] == ["007", "8"]
 
 
+def test_separator_ignores_quotes_and_later_lines(spark, tmp_path):
+    path = tmp_path / "up.csv"
+    path.write_text('\n"CNPJ, raiz";nome;valor\n1;"ACME; filial, sul";2\n3;"duas\nlinhas";4\n')
+    df = src.read_upload(spark, str(path), line_breaks=True)
+    assert [tuple(r) for r in df.collect()] == [("1", "ACME; filial, sul", "2"), ("3", "duas\nlinhas", "4")]
+    assert df.columns == ["CNPJ, raiz", "nome", "valor"]
+    path.write_text("so uma\n1\n")
+    assert src.sniff_separator(spark, str(path)) == ","
+
+
 def test_parquet_upload(spark, tmp_path, upload):
-    path = str(tmp_path / "u.parquet")
-    upload.write.parquet(path)
-    assert src.read_upload(spark, path).count() == 5
+    for name in ("u.parquet", "tabela"):
+        path = str(tmp_path / name)
+        upload.write.parquet(path)
+        assert src.read_upload(spark, path).count() == 5
+    assert src.read_upload(spark, path, fmt="parquet").columns == upload.columns
 
 
 def test_guesses(upload):
