@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketreach.llm.arrow import map_texts
+from marketreach.llm.memo import look_up
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
@@ -204,26 +205,25 @@ class Codec:
         if not self.segmented:
             found = list(self._verified(texts))
             return [i for i, _ in found], [ok for _, ok in found]
+        if len(self.held) > HELD:  # marks of segments forgotten before; they are set again when met
+            self.odd &= self.held.keys()
         parts = [self._segments(t) for t in texts]
-        new = set().union(*parts) - self.held.keys()
-        if len(self.held) + len(new) > HELD:
-            self.held, self.odd = {}, set()
-            new = set().union(*parts)
+        ids = [np.frombuffer(i, np.int32) for i in look_up(parts, self.held, HELD, self._learn)]
+        return ids, [not self.odd or self.odd.isdisjoint(p) for p in parts]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode segments not met before."""
         if "" in new:  # a lone marker
             mark = self.model.ids.get(MARK)
             ids = (mark,) if mark is not None else tuple(self.check.encode(" ")[1:])
             self.held[""] = np.array(ids, np.int32).tobytes()
-            new.discard("")
-        plain = [s for s in new if " " not in s]
+        plain = [s for s in new if s and " " not in s]
         spaced = [s for s in new if " " in s]
         found = chain(self._joined(plain), ((s, *f) for s, f in zip(spaced, self._verified(spaced))))
         for segment, ids, ok in found:
             self.held[segment] = ids.tobytes()
             if not ok:
                 self.odd.add(segment)
-        get = self.held.__getitem__
-        ids = [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
-        return ids, [not self.odd or self.odd.isdisjoint(p) for p in parts]
 
     def decode(self, ids) -> str:
         """Text of a list of ids."""

@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketreach.llm.arrow import map_texts, slices
+from marketreach.llm.memo import look_up
 from marketreach.session import shared_folder, stage
 
 MAGIC = b"IDPLANE1"
 CHUNK = 1 << 16
 LEVEL = 3
 END = 1
-HELD = 1_200_000  # words a task remembers
+HELD = 1_000_000  # words a task remembers
 JOINED = 256  # words encoded as one text
 BATCH = 4096
 SLICE = 1_000_000
@@ -90,8 +91,9 @@ class Words:
                 for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups], light)):
                     cuts = np.flatnonzero(ids == mark[0]).tolist() if len(mark) == 1 else []
                     if len(cuts) == len(group) - 1:
+                        data, k = ids.tobytes(), ids.itemsize
                         bounds = zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])
-                        self.held.update((w, ids[a:b].tobytes()) for w, (a, b) in zip(group, bounds))
+                        self.held.update((w, data[k * a : k * b]) for w, (a, b) in zip(group, bounds))
                     else:
                         alone += group
         for at in range(0, len(alone), BATCH):
@@ -109,14 +111,9 @@ class Words:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as unsigned little-endian integers of `width`."""
         parts = [self._words(t) for t in texts]
-        new = set().union(*parts) - self.held.keys()
-        if len(self.held) + len(new) > HELD:
-            self.held = {}
-            new = set().union(*parts)
-        self._learn(list(new))
-        get = self.held.__getitem__
+        found = look_up(parts, self.held, HELD, lambda new: self._learn(list(new)))
         end = np.array([END], self.width).tobytes()
-        return [b"".join(map(get, p)) + end for p in parts]
+        return [ids + end for ids in found]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
