@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from marketreach.functions.text import clean_id, place_key
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the relation small; else a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def own_exchange(side: DataFrame) -> DataFrame:
     """Join side that brings no partitioning of its own.
 
@@ -75,18 +67,6 @@ def attach_place(
     return keyed.join(own_exchange(side), "_place", "left").drop("_place")
 
 
-def register_rows(base: DataFrame, ids: DataFrame, key: str = "cnpj") -> DataFrame:
-    """Register rows that can match the ids, for the right side of a LEFT join.
-
-    A customer list is far smaller than the register, so its ids reduce the register in place
-    when they are few. Beyond the bound the register is handed on whole: the join then shuffles
-    both sides, and a reducing join before it would only keep it from splitting a hot id.
-    """
-    distinct = ids.select(key).distinct()
-    side = broadcast_if_small(distinct)
-    return base if side is distinct else base.join(side, key, "left_semi")
-
-
 def with_id(df: DataFrame, key: str, alias: str = "_id") -> DataFrame:
     """Adds the normalised 14-digit id."""
     return df.withColumn(alias, clean_id(F.col(f"`{key}`")))

@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketreach.functions.numeric import EARTH_RADIUS_KM, haversine_km
-from marketreach.operators.joins import BROADCAST_ROWS
 from marketreach.session import stage
 
 COARSE_DEGREES = 45.0
 ROWS, COLS = 4, 8  # coarsest grid
 MAX_LEVEL = 6  # 45 / 8**6 degrees, about 19 m
 BROADCAST_LEVEL = 2  # at most 256 x 512 = 131,072 cells
-LEAF_SITES = 512
+LEAF_SITES = 16
 _SLACK_KM = 1e-6
 
 
@@ -101,11 +100,8 @@ def _prune(frontier: DataFrame) -> DataFrame:
     )
 
 
-def _depth(sites: DataFrame, leaf: int) -> tuple[int, int]:
-    """Number of sites, and the first level whose fullest cell holds at most `leaf` of them."""
-    n = sites.count()
-    if n <= leaf:
-        return n, 0
+def _depth(sites: DataFrame, leaf: int) -> int:
+    """The first level whose fullest cell holds at most `leaf` sites."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))
     keyed = sites.select("s_i", "s_j", levels.alias("level"))
     shift = F.expr(f"3 * ({MAX_LEVEL} - level)")
@@ -119,8 +115,9 @@ def _depth(sites: DataFrame, leaf: int) -> tuple[int, int]:
         .groupBy("level")
         .agg(F.max("count").alias("fullest"))
     )
-    fits = [r["level"] for r in fullest.collect() if r["fullest"] <= leaf]  # one row per level
-    return n, min(fits, default=MAX_LEVEL)
+    filled = fullest.collect()  # one row per level, none without sites
+    fits = [r["level"] for r in filled if r["fullest"] <= leaf]
+    return min(fits, default=MAX_LEVEL if filled else 0)
 
 
 def nearest_site(
@@ -145,7 +142,7 @@ def nearest_site(
         }
     )
     indexed = stage(indexed)
-    n_sites, depth = _depth(indexed, leaf)
+    depth = _depth(indexed, leaf)
 
     found = _located(points, lat, lon).select(
         F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"), _wrap(F.col(lon)).alias("p_x")
@@ -171,8 +168,6 @@ def nearest_site(
         _at_level(F.col("s_j"), depth).alias("cj"),
         "s_lat", "s_lon", "s_id",
     )
-    if n_sites <= BROADCAST_ROWS:
-        last = F.broadcast(last)
     pairs = frontier.join(last, ["ci", "cj"]).withColumn(
         "km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("s_lat"), F.col("s_lon"))
     )

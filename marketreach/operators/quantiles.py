@@ -9,21 +9,16 @@ from marketreach.operators.joins import own_exchange
 from marketreach.session import stage
 
 BUCKETS = 128
-DIRECT_VALUES = 500_000
 
 
 def exact_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    direct_values: int = DIRECT_VALUES,
+    df: DataFrame, keys: list[str], value: str, probs: list[float]
 ) -> DataFrame:
     """`keys, prob, valor`: linearly interpolated percentiles per key.
 
-    Equal values are counted first, and the counts staged. While no key has more than
-    `direct_values` distinct values, the built-in weighted percentile holds them in memory;
-    beyond that the ranks are located through buckets. Both are exact.
+    Equal values are counted first, and the counts staged. A mergeable sketch cuts each key's values
+    into buckets; bucket counts give the ranks each bucket covers, and only the few buckets that hold
+    a wanted rank are ordered. The sketch decides how even the buckets are, never the result.
     """
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
@@ -32,22 +27,6 @@ def exact_percentiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    fullest = counts.groupBy(*by).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if fullest > direct_values:
-        return _by_buckets(counts, by, probs).select(*keys, "prob", "valor")
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    each = counts.groupBy(*by).agg(F.percentile("_v", wanted, F.col("_n")).alias("_q"))
-    pairs = F.explode(F.arrays_zip(wanted.alias("prob"), F.col("_q").alias("valor")))
-    return each.select(*keys, pairs.alias("_x")).select(*keys, "_x.prob", "_x.valor")
-
-
-def _by_buckets(counts: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
-    """Percentiles from value counts without holding a key's values together.
-
-    A mergeable sketch cuts each key's values into buckets; bucket counts give the ranks each
-    bucket covers, and only the few buckets that hold a wanted rank are ordered. The sketch
-    decides how even the buckets are, never the result.
-    """
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", grid, BUCKETS * 10).alias("_cuts"))
     cut = counts.join(own_exchange(cuts), by).withColumn(
@@ -88,7 +67,7 @@ def _by_buckets(counts: DataFrame, by: list[str], probs: list[float]) -> DataFra
         F.max(F.when(covers("_hi"), F.col("_v"))).alias("_high"),
     )
     exact = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.col("_lo"))
-    return ends.select(*by, F.col("_p").alias("prob"), exact.alias("valor"))
+    return ends.select(*keys, F.col("_p").alias("prob"), exact.alias("valor"))
 
 
 def percentiles_by_key(

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from marketreach import layouts as L
 from marketreach.functions.numeric import decimal_comma
 from marketreach.functions.text import split_codes
-from marketreach.operators.joins import own_exchange, register_rows, with_id
+from marketreach.operators.joins import own_exchange, with_id
 
-MAX_SEGMENTS = 10
 
 
 def enrich(upload: DataFrame, base: DataFrame, key: str) -> DataFrame:
@@ -20,7 +19,7 @@ def enrich(upload: DataFrame, base: DataFrame, key: str) -> DataFrame:
     rows = with_id(upload.drop(*[c for c in L.ENRICHMENT if c in upload.columns]), key)
     brought = [c for c in L.ENRICHMENT if c in base.columns]
     side = base.select(F.col("cnpj").alias("_id"), *brought)
-    return rows.join(register_rows(side, rows, "_id"), "_id", "left")
+    return rows.join(side, "_id", "left")
 
 
 def enrich_all(upload: DataFrame, base: DataFrame, key: str, value: str | None = None) -> DataFrame:
@@ -30,7 +29,7 @@ def enrich_all(upload: DataFrame, base: DataFrame, key: str, value: str | None =
         rows = rows.withColumn(value, decimal_comma(F.col(f"`{value}`")))
     side = base.withColumnRenamed("cnpj", "_id")
     side = side.drop(*[c for c in side.columns if c in rows.columns and c != "_id"])
-    out = rows.join(register_rows(side, rows, "_id"), "_id", "left")
+    out = rows.join(side, "_id", "left")
     if value in rows.columns:
         totals = rows.groupBy("_id").agg(
             F.coalesce(F.sum(f"`{value}`"), F.lit(0.0)).alias("VALOR_TOTAL")
@@ -39,14 +38,12 @@ def enrich_all(upload: DataFrame, base: DataFrame, key: str, value: str | None =
     return out.drop("_id")
 
 
-def segment_values(upload: DataFrame, segment: str) -> list:
-    """Sorted segment values; more than ten are refused, as they would become columns."""
-    found = (
-        upload.select(segment).where(F.col(segment).isNotNull()).distinct()
-        .orderBy(segment).limit(MAX_SEGMENTS + 1).collect()
-    )
-    if len(found) > MAX_SEGMENTS:
-        raise ValueError(f"column {segment} has more than {MAX_SEGMENTS} values")
+def segment_values(upload: DataFrame, segment: str, most: int | None = None) -> list:
+    """Sorted segment values, which become columns; more than `most` are refused, if that is given."""
+    values = upload.select(segment).where(F.col(segment).isNotNull()).distinct().orderBy(segment)
+    found = (values if most is None else values.limit(most + 1)).collect()
+    if most is not None and len(found) > most:
+        raise ValueError(f"column {segment} has more than {most} values")
     return [r[0] for r in found]
 
 
@@ -62,7 +59,8 @@ def enrich_pivot(
     """One row per id with `{column}_{segment}` columns, then all register columns.
 
     The value is summed, other columns take their first known value in row order; the segment
-    column itself becomes `{segment}_{value}`. `VALOR_TOTAL` adds the pivoted values.
+    column itself becomes `{segment}_{value}`. `VALOR_TOTAL` adds the pivoted values: with an explicit
+    list of `segments`, rows of other segments are in no column and not in the total.
     """
     segments = segment_values(upload, segment) if segments is None else list(segments)
     rows = with_id(upload, key).withColumn(value, decimal_comma(F.col(f"`{value}`")))
@@ -84,7 +82,7 @@ def enrich_pivot(
 
     side = base.withColumnRenamed("cnpj", "_id")
     side = side.drop(*[c for c in side.columns if c in wide.columns and c != "_id"])
-    out = wide.join(register_rows(side, wide, "_id"), "_id", "left")
+    out = wide.join(side, "_id", "left")
     total = sum((F.coalesce(F.col(f"`{value}_{s}`"), F.lit(0.0)) for s in segments), F.lit(0.0))
     return out.withColumn("VALOR_TOTAL", total).withColumnRenamed("_id", key)
 

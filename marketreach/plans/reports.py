@@ -92,8 +92,11 @@ def indirect_report(
     sellers = indirect.distributors(foco, distributor_field, distributor_values)
     points = stage(indirect.distributor_points(sellers))
     rows = cleaned_market(foco, options, keep_served=True)
-    result = indirect.coverage_result(
-        rows, points, distributor_field, distributor_values, radius_km, selected_roots, prioritise
+    # eight tables stand on the result: the search runs once
+    result = stage(
+        indirect.coverage_result(
+            rows, points, distributor_field, distributor_values, radius_km, selected_roots, prioritise
+        )
     )
     finals = result.where(F.col("atendimento_via").isin(L.FINAL_CUSTOMERS))
     cells = market.density(finals, ["atendimento_via"])

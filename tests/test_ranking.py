@@ -114,12 +114,6 @@ def test_keep_one_keeps_whole_rows(spark):
     assert got == {("a", None, 2), ("b", "y", 1)}
 
 
-def test_broadcast_only_when_counted_small(spark):
-    small, large = spark.range(5), spark.range(50)
-    assert "broadcast" in joins.broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
-    assert joins.broadcast_if_small(large, 10) is large
-
-
 def test_focus_marks(spark):
     base = spark.createDataFrame(
         [("00000001000101", "4744099", "SP"), ("00000001000202", "4744001", "RJ"), ("00000002000103", "0111301", "SP")],

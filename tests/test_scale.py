@@ -138,14 +138,13 @@ def test_nearest_with_a_third_of_the_clients_in_one_place(spark, rows):
     assert sum(r.dist_km_min == 0.0 and r.cnpj_distrib_proximo == "0000" for r in out) >= HOT
 
 
-def test_enrichment_beyond_the_broadcast_bound(spark, rows, monkeypatch):
-    """With too many ids to broadcast, both sides shuffle on the id and results are the same."""
+def test_enrichment_with_a_hot_id(spark, rows):
+    """Without a broadcast both sides shuffle on the id and results are the same."""
     upload = rows.select(
         F.when(F.col("cnpj_basico") == "00000007", "1").otherwise(F.col("cnpj")).alias("id"),
         F.col("nome_fantasia").alias("obs"),
     )
     base = rows.select("cnpj", F.lit("SP").alias("uf"))
-    monkeypatch.setattr(joins, "broadcast_if_small", lambda df, max_rows=0: df)
     with settings(spark, TINY):
         out, plan = collect_plan(uploads.enrich(upload, base, "id"))
     assert "BroadcastHashJoin" not in plan and "skew=true" in plan

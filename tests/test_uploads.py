@@ -98,7 +98,8 @@ def test_pivot(upload, base):
 def test_pivot_refuses_many_segments(spark):
     df = spark.range(11).select(F.col("id").cast("string").alias("seg"))
     with pytest.raises(ValueError):
-        U.segment_values(df, "seg")
+        U.segment_values(df, "seg", 10)
+    assert len(U.segment_values(df, "seg")) == 11
 
 
 def test_per_customer_and_duplicates(upload):
