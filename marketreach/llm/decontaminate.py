@@ -3,17 +3,19 @@
 Fixed masks select some of the next tokens of each position; the selected tokens are hashed. Hashes of
 documents and of benchmark items are joined, and each diagonal (document position less item position)
 with a hit is verified: a document holds an item if, on that diagonal, a window of
-`WINDOW` tokens of the item (the whole item if it is shorter) that contains a hit has at least
-`SHARE` of its tokens in place. Tokens that a mask ignores, and those outside the hit, may differ.
+`WINDOW` tokens of the item (the whole item if it is shorter) has at least `SHARE` of its tokens in
+place. Every window within that share contains a hit of a mask for items of its length, so the result
+is that of matching all windows: `MASKS` serve items of `WINDOW` tokens and more, `LIGHT` shorter ones,
+and items of fewer than four tokens, where no token may differ, are hashed as a whole.
 
 A Bloom filter of fixed size over the item hashes, read as a scalar, keeps most positions of documents
-out of the join; it only saves work. All masks start with two selected tokens, so that pairs of
-neighbours are looked up first. What remains of a document is kept in blocks of `BLOCK` positions with
+out of the join; it only saves work. All masks of two tokens and more select two neighbours, so that
+pairs of these are looked up first, and single tokens beside them. What remains of a document is kept in blocks of `BLOCK` positions with
 their surroundings, written once. Texts are told apart by their MD5, so copies are verified once.
 
-Defined cases: null and empty texts hold nothing; items with fewer tokens than the shortest mask are
-never found; items with the same tokens count as the one with the smallest id; repeated rows each get
-their pairs; empty tables give no pairs; other columns are ignored or, in `keep_clean`, kept.
+Defined cases: null and empty texts hold nothing; items without a token are never found; each character
+of a script without spaces is a token; items with the same tokens count as the one with the smallest id,
+but `op8_decontaminate` names each of them; repeated rows each get their pairs; empty tables give no pairs; other columns are ignored or, in `keep_clean`, kept.
 """
 
 from __future__ import annotations
@@ -25,12 +27,21 @@ from pyspark.sql import functions as F
 
 from marketreach.session import stage
 
-MASKS = ("111111", "1101101001", "11010001011")  # 1: selected; each starts with 11
+MASKS = ("111111", "1101101001", "11010001011")  # 1: selected
+LIGHT = ("1111", "11011", "11101", "10111")
 WINDOW = 13
+# (mask, shortest, longest item it serves)
+SEEDS = (
+    *[(m, WINDOW, None) for m in MASKS],
+    *[(m, 4, WINDOW - 1) for m in LIGHT],
+    *[("1" * n, n, n) for n in (1, 2, 3)],
+)
+UNSPACED = (
+    r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+)
 SHARE = 0.8
 BLOCK = 64
 WORDS_LOG2 = 16  # the filter is an array of so many longs, as a power of two: 0.5 MB
-SHORTEST = min(map(len, MASKS))
 
 
 def _places(mask: str) -> list[int]:
@@ -38,8 +49,9 @@ def _places(mask: str) -> list[int]:
 
 
 def tokens(text: str = "text") -> Column:
-    """Hashes of a text's tokens: lower-cased runs of letters and digits."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")), " ")
+    """Hashes of a text's tokens: lower-cased runs of letters and digits, characters of unspaced scripts."""
+    apart = F.regexp_replace(F.lower(F.col(text)), UNSPACED, " $1 ")
+    words = F.split(F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")), " ")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -49,7 +61,10 @@ def _pairs(t: str) -> Column:
 
 
 def _hash(t: str, mask: int, at: Column) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(F.col(t), at + o) for o in _places(MASKS[mask])])
+    return F.xxhash64(F.lit(mask), *[F.get(F.col(t), at + o) for o in _places(SEEDS[mask][0])])
+
+
+_SINGLE = next(i for i, s in enumerate(SEEDS) if s[0] == "1")
 
 
 def _slots(h: Column) -> list[tuple[Column, Column]]:
@@ -88,17 +103,24 @@ def _once(value: Column) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, t): items long enough to be found; of those with the same tokens the smallest id."""
-    rows = benchmark.select("item_id", tokens().alias("t")).filter(F.size("t") >= SHORTEST)
+    """(item_id, t): items with a token; of those with the same tokens the smallest id."""
+    rows = benchmark.select("item_id", tokens().alias("t")).filter(F.size("t") > 0)
     return rows.groupBy("t").agg(F.min("item_id").alias("item_id"))
 
 
+def named(benchmark: DataFrame) -> DataFrame:
+    """(first, item_id): every item id beside the id that `items` keeps for its tokens."""
+    rows = benchmark.select("item_id", tokens().alias("t")).filter(F.size("t") > 0).distinct()
+    return rows.join(items(benchmark).withColumnRenamed("item_id", "first"), "t").select("first", "item_id")
+
+
 def item_seeds(found: DataFrame) -> DataFrame:
     """(item_id, q, h) of every mask at every position it fits."""
     parts = []
-    for m, mask in enumerate(MASKS):
+    for m, (mask, least, most) in enumerate(SEEDS):
         at = F.explode(F.sequence(F.lit(0), F.size("t") - len(mask))).alias("q")
-        fits = found.filter(F.size("t") >= len(mask)).select("item_id", "t", at)
+        served = F.col("size").between(max(least, len(mask)), most) if most else F.col("size") >= least
+        fits = found.withColumn("size", F.size("t")).filter(served).select("item_id", "t", at)
         parts.append(fits.select("item_id", "q", _hash("t", m, F.col("q")).alias("h")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -108,17 +130,23 @@ def candidates(docs: DataFrame, keep: list[str], found: DataFrame, seeds: DataFr
 
     A row of `docs` has a row here for each block with a hit in the filter; `first` marks one of them.
     """
-    pairs = found.select(F.explode(F.slice(_pairs("t"), 1, F.size("t") - 1)).alias("h"))
+    near = found.select(F.explode(F.when(F.size("t") > 1, F.slice(_pairs("t"), 1, F.size("t") - 1))).alias("h"))
+    pairs = near.unionByName(found.filter(F.size("t") == 1).select(_hash("t", _SINGLE, F.lit(0)).alias("h")))
     bits = bloom(stage(seeds.select("h").unionByName(pairs).distinct())).scalar()
     # the optimizer moves the scalar column into its only use, so no row carries the filter
     rows = docs.select(*keep, F.md5("text").alias("key"), _once(tokens()).alias("t")).withColumn("bits", bits)
 
-    def seeded(i: Column) -> Column:
-        made = [F.when(i <= F.size("t") - len(mask), _hash("t", m, i)) for m, mask in enumerate(MASKS)]
-        return F.array(*[F.struct(i.alias("i"), h.alias("h")) for h in made])
+    def seeded(at: Column) -> Column:
+        """Masks whose first two selected neighbours are at `at` and after it."""
+        made = []
+        for m, (mask, _, _) in enumerate(SEEDS):
+            i = at - max(mask.find("11"), 0)
+            made.append((i, F.when((i >= 0) & (i <= F.size("t") - len(mask)), _hash("t", m, i))))
+        return F.array(*[F.struct(i.alias("i"), h.alias("h")) for i, h in made])
 
     def found_in(b: Column) -> Column:
-        near = F.filter(F.transform(_pairs("t"), lambda h, i: F.when(_in(b, h), i)), lambda i: i.isNotNull())
+        meets = lambda h, i: F.when(_in(b, h) | _in(b, _hash("t", _SINGLE, i)), i)
+        near = F.filter(F.transform(_pairs("t"), meets), lambda i: i.isNotNull())
         every = F.flatten(F.transform(near, seeded))
         return F.filter(every, lambda x: x["h"].isNotNull() & _in(b, x["h"]))
 
@@ -152,21 +180,11 @@ def verify(blocks: DataFrame, found: DataFrame, seeds: DataFrame) -> DataFrame:
     equal = F.transform("t", lambda x, q: F.coalesce((F.get(F.col("part"), q + shift) == x).cast("int"), F.lit(0)))
     rows = rows.select("key", "item_id", "diagonal", F.size("t").alias("m"), _once(equal).alias("e"))
 
-    def marks(mask: str) -> Column:
-        inside = F.filter(
-            F.sequence(F.lit(0), F.greatest(F.col("m") - len(mask), F.lit(0))),
-            lambda p: reduce(lambda a, b: a & b, [F.coalesce(F.get(F.col("e"), p + o) == 1, F.lit(False)) for o in _places(mask)]),
-        )
-        return F.transform(inside, lambda p: F.struct(p.alias("p"), (p + len(mask)).alias("stop")))
-
-    rows = rows.select("*", _once(F.concat(*map(marks, MASKS))).alias("marks"), F.least("m", F.lit(WINDOW)).alias("v"))
+    rows = rows.select("*", F.least("m", F.lit(WINDOW)).alias("v"))
     window = F.transform(
         F.sequence(F.lit(0), F.col("m") - F.col("v")),
         lambda q: F.struct(
-            F.when(
-                F.exists("marks", lambda x: (x["p"] >= q) & (x["stop"] <= q + F.col("v"))),
-                F.aggregate(F.slice("e", q + 1, F.col("v")), F.lit(0), lambda a, x: a + x),
-            ).otherwise(0).alias("matched"),
+            F.aggregate(F.slice("e", q + 1, F.col("v")), F.lit(0), lambda a, x: a + x).alias("matched"),
             (-(F.col("diagonal") + q)).alias("back"),
         ),
     )
@@ -199,4 +217,5 @@ def op8_decontaminate(spark, folder: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return overlaps(docs, benchmark, ["doc_id"]).select("doc_id", "item_id", "position", "matched")
+    found = overlaps(docs, benchmark, ["doc_id"]).withColumnRenamed("item_id", "first")
+    return found.join(named(benchmark), "first").select("doc_id", "item_id", "position", "matched")
