@@ -37,7 +37,8 @@ SEEDS = (
     *[("1" * n, n, n) for n in (1, 2, 3)],
 )
 UNSPACED = (
-    r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+    # none is below U+0E00, which is tested first
+    r"([\x{0E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]])"
 )
 SHARE = 0.8
 BLOCK = 64
@@ -134,7 +135,9 @@ def candidates(docs: DataFrame, keep: list[str], found: DataFrame, seeds: DataFr
     pairs = near.unionByName(found.filter(F.size("t") == 1).select(_hash("t", _SINGLE, F.lit(0)).alias("h")))
     bits = bloom(stage(seeds.select("h").unionByName(pairs).distinct())).scalar()
     # the optimizer moves the scalar column into its only use, so no row carries the filter
+    single = found.agg((F.coalesce(F.min(F.size("t")), F.lit(0)) == 1).alias("single")).scalar()
     rows = docs.select(*keep, F.md5("text").alias("key"), _once(tokens()).alias("t")).withColumn("bits", bits)
+    rows = rows.withColumn("single", single)
 
     def seeded(at: Column) -> Column:
         """Masks whose first two selected neighbours are at `at` and after it."""
@@ -144,13 +147,15 @@ def candidates(docs: DataFrame, keep: list[str], found: DataFrame, seeds: DataFr
             made.append((i, F.when((i >= 0) & (i <= F.size("t") - len(mask)), _hash("t", m, i))))
         return F.array(*[F.struct(i.alias("i"), h.alias("h")) for i, h in made])
 
-    def found_in(b: Column) -> Column:
-        meets = lambda h, i: F.when(_in(b, h) | _in(b, _hash("t", _SINGLE, i)), i)
+    def found_in(b: Column, single: Column) -> Column:
+        meets = lambda h, i: F.when(_in(b, h) | (single & _in(b, _hash("t", _SINGLE, i))), i)
         near = F.filter(F.transform(_pairs("t"), meets), lambda i: i.isNotNull())
         every = F.flatten(F.transform(near, seeded))
         return F.filter(every, lambda x: x["h"].isNotNull() & _in(b, x["h"]))
 
-    hits = F.get(F.transform(F.array("bits"), found_in), F.lit(0))
+    hits = F.get(
+        F.transform(F.array(F.struct("bits", "single")), lambda x: found_in(x["bits"], x["single"])), F.lit(0)
+    )
     rows = rows.select(*keep, "key", "t", hits.alias("hits"))
     numbers = F.array_distinct(F.transform("hits", lambda x: F.floor(x["i"] / BLOCK).cast("int")))
     rows = rows.select(*keep, "key", "t", "hits", F.explode_outer(numbers).alias("block")).filter("block is not null")
