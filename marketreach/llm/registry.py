@@ -10,8 +10,11 @@ from marketreach.llm import (
     pieces,
     planes,
     quality,
+    search,
     secrets,
     simhash,
+    topk,
+    trie,
     urls,
 )
 
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_planes": planes.op9_planes,
     "op10_quality": quality.op10_quality,
+    "op11_topk": topk.op11_topk,
+    "op12_search": search.op12_search,
+    "op13_trie": trie.op13_trie,
 }
 
 SQL = {
@@ -34,4 +40,7 @@ SQL = {
     "op5_urls": urls.SQL,
     "op6_chats": chats.SQL,
     "op10_quality": quality.SQL,
+    "op11_topk": topk.SQL,
+    "op12_search": search.SQL,
+    "op13_trie": trie.SQL,
 }
