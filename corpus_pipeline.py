@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketreach.llm import decontaminate, language, near, pieces, secrets
+from marketreach.llm import decontaminate, language, pieces, secrets, simhash
 from marketreach.session import stage
 
 ORACLE_SQL = None  # trained models and tokenizers are beyond SQL; tests compare with brute force
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8 and above."""
-    return near.keep_first(docs)
+    """One document of each group whose SimHash fingerprints link at the operator's bit distance."""
+    return simhash.keep_first(docs)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
