@@ -233,23 +233,23 @@ def components(
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, with all its columns.
+def keep_first(docs: DataFrame, words: int = WORDS, budget: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """One row of each component, with all its columns: the least by doc_id (null last), text hash, columns.
 
-    Of rows that repeat that id, the one that is least by text hash, then by its columns, stays.
-    Rows without an id come after all others and are told apart by their text.
+    Rows that repeat a doc_id with different texts are told apart. Equal rows are one.
     """
-    late = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(
-        F.coalesce("doc_id", late).alias("doc_id"),
-        F.col("text"),
-        F.struct(F.xxhash64("text").alias("hash_"), F.struct(*columns).alias("of")).alias("row"),
+        F.xxhash64(*columns).alias("c"), "doc_id", F.xxhash64("text").alias("h"), "text", F.struct(*columns).alias("row")
     )
-    found = components(rows, **options)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = rows.select("doc_id", "row").join(kept, "doc_id", "left_semi")
-    return chosen.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.of.*")
+    marked = stage(fingerprints(rows, ["c", "doc_id", "h"], words))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h", "c")
+    members = stage(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    found = connected(stage(links(members.select("fp"), budget, leaf)))
+    named = members.join(found, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
+    kept = stage(named.groupBy("root").agg(F.min("least").alias("least")).select("least.c", "least.h"))
+    chosen = rows.select("c", "h", "row").join(kept, ["c", "h"], "left_semi")
+    return chosen.groupBy("c", "h").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op1_simhash(spark, folder: str) -> DataFrame:
