@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketreach.llm.blocks import stage_blocks
+from marketreach.llm.blocks import blocks_of, stage_blocks
 from marketreach.session import stage
 
 GROUP = 20  # conversations that share the first turns of one of them
 SHARED = 4  # one more than the most turns that are shared
 LEAF = 4096  # most sequences of a shard
+PACKED = 1 << 18  # turns of small shards in one double array
 TEXT = 1 << 16  # most characters of a part of a member list
 EMPTY = hashlib.sha256(b"").hexdigest()
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,25 +87,24 @@ def _key(depth: int | Column) -> Column:
 def digests(members: DataFrame) -> DataFrame:
     """key and ends_sha256, from (key, conv_id): parts of the list are made in ranges, then streamed in order."""
 
-    def parts(batches) -> Iterator[pa.RecordBatch]:
-        def flush():
-            return pa.RecordBatch.from_pydict(
-                {"x": [key[0]], "y": [key[1]], "low": [first], "part": [",".join(map(str, held))]}
-            )
+    def gathered(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+        for block in blocks_of(rows, lambda r: len(r[-1]), 16 * TEXT, 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*block)], names=names)
 
+    def parts(batches) -> Iterator[tuple]:
         key, first, held, size = None, 0, [], 0
         for batch in batches:
             for x, y, c in zip(*(batch.column(n).to_pylist() for n in ("x", "y", "conv_id"))):
                 if (x, y) != key or size > TEXT:
                     if held:
-                        yield flush()
+                        yield *key, first, ",".join(map(str, held))
                     key, first, held, size = (x, y), c, [], 0
                 held.append(c)
                 size += 20
         if held:
-            yield flush()
+            yield *key, first, ",".join(map(str, held))
 
-    def whole(batches) -> Iterator[pa.RecordBatch]:
+    def whole(batches) -> Iterator[tuple]:
         key, digest = None, None
         for batch in batches:
             for x, y, part in zip(*(batch.column(n).to_pylist() for n in ("x", "y", "part"))):
@@ -112,16 +112,19 @@ def digests(members: DataFrame) -> DataFrame:
                     digest.update(b"," + part.encode())
                     continue
                 if key:
-                    yield pa.RecordBatch.from_pydict({"x": [key[0]], "y": [key[1]], "ends_sha256": [digest.hexdigest()]})
+                    yield *key, digest.hexdigest()
                 key, digest = (x, y), hashlib.sha256(part.encode())
         if key:
-            yield pa.RecordBatch.from_pydict({"x": [key[0]], "y": [key[1]], "ends_sha256": [digest.hexdigest()]})
+            yield *key, digest.hexdigest()
 
     narrow = members.select("key.x", "key.y", "conv_id")
     order = ["x", "y", "conv_id"]
-    lists = narrow.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(parts, "x long, y long, low long, part string")
+    lists = narrow.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        lambda b: gathered(parts(b), ["x", "y", "low", "part"]), "x long, y long, low long, part string"
+    )
     met = lists.repartition("x", "y").sortWithinPartitions("x", "y", "low")
-    return met.mapInArrow(whole, "x long, y long, ends_sha256 string").select(F.struct("x", "y").alias("key"), "ends_sha256")
+    found = met.mapInArrow(lambda b: gathered(whole(b), ["x", "y", "ends_sha256"]), "x long, y long, ends_sha256 string")
+    return found.select(F.struct("x", "y").alias("key"), "ends_sha256")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -157,27 +160,30 @@ def shards(seqs: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
 
 
 class DoubleArray:
-    """Trie of sequences of dense ids (rows of `codes`, -1 beyond a sequence's end) as BASE and CHECK arrays."""
+    """Trie of sequences of dense ids as BASE and CHECK arrays.
+
+    Sequences lie in `flat` from `starts` on; the longest come first.
+    """
 
-    def __init__(self, codes: np.ndarray):
-        size = int(codes.max(initial=-1)) + 2 + 2 * len(codes)
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        size = int(flat.max(initial=-1)) + 2 + 2 * len(sizes)
         self.base = np.zeros(size, np.int64)
         self.check = np.full(size, -1, np.int64)
         self.check[0] = 0  # the root is its own parent
         self.free = 1  # no slot before this one is free
-        state = np.zeros(len(codes), np.int64)
-        for depth in range(codes.shape[1]):
-            on = np.flatnonzero(codes[:, depth] >= 0)
-            pairs = np.unique(np.stack([state[on], codes[on, depth]], axis=1), axis=0)
+        state = np.zeros(len(sizes), np.int64)
+        for depth, n in lengths(sizes):
+            codes = flat[starts[:n] + depth]
+            pairs = np.unique(np.stack([state[:n], codes], axis=1), axis=0)
             cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
             first, counts = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(pairs)])))
-            for i in np.argsort(-counts, kind="stable").tolist() if len(pairs) else ():
+            for i in np.argsort(-counts, kind="stable").tolist():
                 if counts[i] == 1:
                     break
                 self._place(int(pairs[first[i], 0]), pairs[first[i] : first[i] + counts[i], 1])
-            lone = first[counts == 1] if len(pairs) else np.zeros(0, np.int64)
+            lone = first[counts == 1]
             self._place_lone(pairs[lone, 0], pairs[lone, 1])
-            state[on] = self.step(state[on], codes[on, depth])
+            state[:n] = self.step(state[:n], codes)
 
     def _grow(self, size: int) -> None:
         more = size - len(self.base)
@@ -223,29 +229,31 @@ class DoubleArray:
         return np.where(fine & (self.check[np.where(fine, to, 0)] == states), to, -1)
 
 
-def nodes(codes: np.ndarray, words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays by node, the top first and parents before children: depth, parent (a place in the arrays), and what it counts.
+def lengths(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Each depth, and how many sequences, the longest first, go beyond it."""
+    for depth in range(int(sizes[0]) if len(sizes) else 0):
+        yield depth, int(np.searchsorted(-sizes, -depth, "left"))
+
 
-    `end` is the sequence that ends at a node, or -1.
+def nodes(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays by node, the root first and parents before children: depth, parent (a place in the arrays), and what it counts.
+
+    `end` is the sequence that ends at a node, or -1; `through` one that passes it. The longest sequences come first.
     """
-    trie = DoubleArray(codes)
+    trie = DoubleArray(flat, starts, sizes)
     slots = len(trie.check)
     n_convs, first = np.zeros(slots, np.int64), np.full(slots, np.iinfo(np.int64).max)
-    last_words, depths = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
-    ends, state, order = np.full(slots, -1, np.int64), np.zeros(len(codes), np.int64), [np.zeros(1, np.int64)]
-    every = np.arange(len(codes))
-    for depth in range(codes.shape[1] + 1):
-        on = every if depth == 0 else every[sizes >= depth]
-        if depth:
-            state[on] = trie.step(state[on], codes[on, depth - 1])
-            assert (state[on] > 0).all(), "a sequence left the trie"
-            last_words[state[on]] = words[on, depth - 1]
-            depths[state[on]] = depth
-            order.append(np.unique(state[on]))
-        np.add.at(n_convs, state[on], counts[on])
-        np.minimum.at(first, state[on], firsts[on])
-        over = on[sizes[on] == depth]
-        ends[state[over]] = over
+    last_words, depths, through = (np.zeros(slots, np.int64) for _ in range(3))
+    ends, state, order = np.full(slots, -1, np.int64), np.zeros(len(sizes), np.int64), [np.zeros(1, np.int64)]
+    n_convs[0], first[0] = counts.sum(), firsts.min()
+    for depth, n in lengths(sizes):
+        state[:n] = here = trie.step(state[:n], flat[starts[:n] + depth])
+        assert (here > 0).all(), "a sequence left the trie"
+        last_words[here], depths[here], through[here] = words[starts[:n] + depth], depth + 1, np.arange(n)
+        order.append(np.unique(here))
+        np.add.at(n_convs, here, counts[:n])
+        np.minimum.at(first, here, firsts[:n])
+    ends[state] = np.arange(len(sizes))
     n_children, n_leaves = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     saved = (n_convs - 1) * last_words
     for depth in range(len(order) - 1, -1, -1):
@@ -261,39 +269,52 @@ def nodes(codes: np.ndarray, words: np.ndarray, sizes: np.ndarray, counts: np.nd
     place[kept] = np.arange(len(kept))
     return {
         "depth": depths[kept], "parent": place[trie.check[kept]], "n_convs": n_convs[kept], "conv_id": first[kept],
-        "n_children": n_children[kept], "n_leaves": n_leaves[kept], "saved": saved[kept], "end": ends[kept],
+        "n_children": n_children[kept], "n_leaves": n_leaves[kept], "saved": saved[kept], "end": ends[kept], "through": through[kept],
     }
 
 
 def _shard_nodes(batches) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: rows of (number, cut, seqs), one per shard, to the shard's nodes."""
+    """mapInArrow function: rows of (number, cut, seqs), one per shard, to the nodes of the shards.
+
+    Small shards are packed together: a shard is then the first turn of its sequences, under a root of no meaning.
+    """
     for batch in batches:
-        for number, cut, seqs in zip(batch.column("number").to_pylist(), batch.column("cut").to_pylist(), batch.column("seqs")):
-            seqs = seqs.values
-            turns, top_words = seqs.field("turns"), seqs.field("top_words").to_numpy()
-            spans = turns.offsets.to_numpy().astype(np.int64)
-            sizes = np.diff(spans)
-            flat = turns.values
-            a, b, w = (flat.field(c).to_numpy()[spans[0] : spans[-1]] for c in ("a", "b", "words"))
-            _, dense = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
-            wide = int(sizes.max(initial=0))
-            codes, words = np.full((len(sizes), wide), -1, np.int64), np.zeros((len(sizes), wide), np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            col = np.arange(len(row)) - np.repeat(spans[:-1] - spans[0], sizes)
-            codes[row, col], words[row, col] = dense.reshape(-1), w
-            found = nodes(codes, words, sizes, seqs.field("n_convs").to_numpy(), seqs.field("conv_id").to_numpy())
-            digest = np.array([*seqs.field("ends_sha256").to_pylist(), EMPTY], object)[found["end"]]
-            n = len(digest)
-            top = np.arange(n) == 0
-            found["saved"][0] += (found["n_convs"][0] - 1) * top_words[0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, number, np.int64)), pa.array(found["conv_id"][found["parent"]], mask=top), pa.array(top),
-                    pa.array((found["depth"] + cut)), pa.array(found["n_convs"]), pa.array(found["conv_id"]),
-                    pa.array(found["n_children"]), pa.array(found["n_leaves"]), pa.array(found["saved"]), pa.array(digest, pa.string()),
-                ],
-                names=[f.split()[0] for f in FOUND.split(", ")],
-            )
+        turns = np.array([len(s.values.field("turns").flatten()) + len(s) for s in batch.column("seqs")])
+        at = 0
+        for block in blocks_of(iter(turns.tolist()), lambda n: n, PACKED, 1 << 62):
+            yield _packed_nodes(batch.slice(at, len(block)))
+            at += len(block)
+
+
+def _packed_nodes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    seqs = batch.column("seqs")
+    shard = np.repeat(np.arange(len(seqs)), seqs.value_lengths().to_numpy())
+    rows = seqs.flatten()
+    order = np.argsort(-rows.field("turns").value_lengths().to_numpy(), kind="stable")
+    rows, shard = rows.take(pa.array(order)), shard[order]
+    turns = rows.field("turns")
+    sizes = turns.value_lengths().to_numpy().astype(np.int64) + 1
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(int(sizes.sum()), bool)
+    inner[starts] = False
+    flat, words = np.zeros(len(inner), np.int64), np.zeros(len(inner), np.int64)
+    values = turns.flatten()
+    pairs = np.stack([values.field(c).to_numpy() for c in ("a", "b")], axis=1)
+    flat[inner] = np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1)
+    words[inner] = values.field("words").to_numpy()
+    flat[starts], words[starts] = shard, rows.field("top_words").to_numpy()
+    found = nodes(flat, starts, sizes, words, rows.field("n_convs").to_numpy(), rows.field("conv_id").to_numpy())
+    digest = np.array([*rows.field("ends_sha256").to_pylist(), EMPTY], object)[found["end"]]
+    parents, of = found["conv_id"][found["parent"]], shard[found["through"]]
+    top = found["depth"] == 1
+    numbers, cuts = batch.column("number").to_numpy(), batch.column("cut").to_numpy()
+    columns = [
+        numbers[of], pa.array(parents, mask=top), top, found["depth"] - 1 + cuts[of], found["n_convs"], found["conv_id"],
+        found["n_children"], found["n_leaves"], found["saved"], pa.array(digest, pa.string()),
+    ]
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    made = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+    return made.slice(1)  # without the root
 
 
 def _path(last: Column) -> Column:
