@@ -2,72 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketreach.operators.joins import own_exchange
 from marketreach.session import stage
 
 BUCKETS = 128
+LEAF = 1 << 16  # most distinct values that are put in order together
+
+
+def _narrowed(values: DataFrame, cells: list[str], wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Written table of the buckets of `values` that hold a wanted rank; `_cell` and `_start` are theirs.
+
+    A mergeable sketch cuts the distinct values of a cell into `BUCKETS` buckets. It decides how even
+    they are, never the result.
+    """
+    grid = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = values.groupBy(*cells).agg(F.percentile_approx("_v", grid, BUCKETS * 10).alias("_cuts"))
+    cut = values.join(own_exchange(cuts), cells).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))).cast("long")
+    ).drop("_cuts")
+    before = Window.partitionBy(*cells).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    spans = cut.groupBy(*cells, "_start", "_b").agg(F.sum("_n").alias("_bn")).withColumn(
+        "_from", F.col("_start") + F.coalesce(F.sum("_bn").over(before), F.lit(0))
+    )
+    holds = F.exists("_ranks", lambda r: r.between(F.col("_from"), F.col("_from") + F.col("_bn") - 1))
+    kept = spans.join(wanted, by).where(holds).select(*cells, "_b", "_from")
+    return stage(
+        cut.join(own_exchange(kept), [*cells, "_b"]).select(
+            *by, (F.col("_cell") * (BUCKETS + 1) + F.col("_b")).alias("_cell"), F.col("_from").alias("_start"), "_v", "_n"
+        )
+    )
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float]
+    df: DataFrame, keys: list[str], value: str, probs: list[float], leaf: int = LEAF
 ) -> DataFrame:
     """`keys, prob, valor`: linearly interpolated percentiles per key.
 
-    Equal values are counted first, and the counts staged. A mergeable sketch cuts each key's values
-    into buckets; bucket counts give the ranks each bucket covers, and only the few buckets that hold
-    a wanted rank are ordered. The sketch decides how even the buckets are, never the result.
+    Equal values are counted first, and the counts staged. While a key's values, or the part of them
+    that is left, are more than `leaf`, the buckets that hold a wanted rank are cut out and the rest
+    is let go; only what then remains is ordered. The number of rounds grows with the logarithm of
+    the distinct values of a key, and no task orders more than `leaf` of them at a time.
     """
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    counts = stage(
+    values = stage(
         keyed.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", grid, BUCKETS * 10).alias("_cuts"))
-    cut = counts.join(own_exchange(cuts), by).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-    ).drop("_cuts")
+    ).withColumns({"_cell": F.lit(0).cast("long"), "_start": F.lit(0).cast("long")})
+    cells = [*by, "_cell"]
 
-    per_key = Window.partitionBy(*by)
-    before = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    spans = (
-        cut.groupBy(*by, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_start", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_bn").over(per_key))
-    )
-    ranks = spans.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    at = F.col("_p") * (F.col("_total") - 1)
-    ranks = ranks.withColumns({"_lo": F.floor(at), "_hi": F.ceil(at), "_at": at})
-    end = F.col("_start") + F.col("_bn")
-    holds = F.col("_lo").between(F.col("_start"), end - 1) | F.col("_hi").between(
-        F.col("_start"), end - 1
-    )
-    wanted = ranks.where(holds).groupBy(*by, "_b", "_start").agg(
-        F.collect_list(F.struct("_p", "_lo", "_hi", "_at")).alias("_ranks")  # at most len(probs)
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.join(wanted, [*by, "_b"]).withColumn(
-        "_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
-    hits = placed.withColumn("_r", F.explode("_ranks")).select(
-        *by, "_v", "_n", "_first", "_r._p", "_r._lo", "_r._hi", "_r._at"
-    )
+    def rank(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("_total") - 1)
 
-    def covers(rank: str):
-        return F.col(rank).between(F.col("_first"), F.col("_first") + F.col("_n") - 1)
+    ends = F.array_distinct(F.array(*[f(rank(p)) for p in probs for f in (F.floor, F.ceil)]))
+    wanted = None
+    while (values.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0) > leaf:
+        if wanted is None:
+            totals = values.groupBy(*by).agg(F.sum("_n").alias("_total"))
+            wanted = stage(totals.select(*by, "_total", ends.alias("_ranks")))
+        values = _narrowed(values, cells, wanted, by)
 
-    ends = hits.groupBy(*by, "_p", "_lo", "_at").agg(
-        F.max(F.when(covers("_lo"), F.col("_v"))).alias("_low"),
-        F.max(F.when(covers("_hi"), F.col("_v"))).alias("_high"),
-    )
-    exact = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.col("_lo"))
-    return ends.select(*keys, F.col("_p").alias("prob"), exact.alias("valor"))
+    per_cell = Window.partitionBy(*cells)
+    inside = per_cell.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = values.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    if wanted is None:  # a key is one cell, so its total is at hand
+        placed = placed.withColumn("_total", F.sum("_n").over(per_cell))
+    else:
+        placed = placed.join(own_exchange(wanted.select(*by, "_total")), by)
+
+    def at_rank(where: Column) -> Column:
+        return F.max(F.when(where.between(F.col("_first"), F.col("_first") + F.col("_n") - 1), F.col("_v")))
+
+    ends_of = [
+        at_rank(end(rank(p))).alias(f"_{side}{i}")
+        for i, p in enumerate(probs)
+        for side, end in (("lo", F.floor), ("hi", F.ceil))
+    ]
+    found = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *ends_of)
+    rows = [
+        F.struct(
+            F.lit(float(p)).alias("prob"),
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(p) - F.floor(rank(p)))).alias("valor"),
+        )
+        for i, p in enumerate(probs)
+    ]
+    return found.select(*keys, F.inline(F.array(*rows)))
 
 
 def percentiles_by_key(

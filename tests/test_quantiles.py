@@ -1,7 +1,10 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from marketreach.operators import quantiles
 from marketreach.operators.quantiles import exact_percentiles, percentiles_by_key
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
@@ -18,11 +21,14 @@ def groups(rng):
     }
 
 
-def test_against_numpy(spark):
+@pytest.mark.parametrize("leaf", [3, 40, 1 << 16])
+def test_against_numpy(spark, monkeypatch, leaf):
+    """With a small leaf the hot key is narrowed several times, its ranks in different buckets."""
+    monkeypatch.setattr(quantiles, "BUCKETS", 8)
     data = groups(random.Random(7))
     rows = [(k, v) for k, vs in data.items() for v in vs] + [("few", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = {(r.k, r.prob): r.valor for r in exact_percentiles(df, ["k"], "v", PROBS).collect()}
+    got = {(r.k, r.prob): r.valor for r in exact_percentiles(df, ["k"], "v", PROBS, leaf).collect()}
     assert len(got) == len(data) * len(PROBS)
     for k, values in data.items():
         for p in PROBS:
@@ -35,3 +41,24 @@ def test_without_keys(spark):
     assert (row.p05, row.p95) == (0.5, 9.5)
     assert [r.valor for r in exact_percentiles(df, [], "v", [0.5]).collect()] == [5.0]
     assert exact_percentiles(df.where("false"), [], "v", [0.5]).count() == 0
+
+
+def test_many_values_of_one_key(spark):
+    """Rounds leave few values to order, whatever a key holds."""
+    n = 300_000
+    df = spark.range(n).select(F.lit("k").alias("k"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    rounds = []
+    narrowed = quantiles._narrowed
+
+    def counted(*args):
+        rounds.append(narrowed(*args))
+        return rounds[-1]
+
+    quantiles._narrowed = counted
+    try:
+        got = {r.prob: r.valor for r in exact_percentiles(df, ["k"], "v", [0.25, 0.5], 2000).collect()}
+    finally:
+        quantiles._narrowed = narrowed
+    assert got == {0.25: (n - 1) * 0.25, 0.5: (n - 1) * 0.5}
+    assert [r.count() < n / 16 for r in rounds] == [True] * len(rounds) and len(rounds) == 2
+    assert rounds[-1].groupBy("_cell").count().agg(F.max("count")).first()[0] <= 2000
