@@ -83,8 +83,10 @@ def mark_company(rows: DataFrame) -> DataFrame:
     """Adds `empresa_base_atendida`: another row of the same company root is served.
 
     The served roots are aggregated on their own and joined back, so a company with very many
-    establishments is never gathered in one window.
+    establishments is never gathered in one window. The rows are staged, since both sides read them
+    and they stand at the end of the joins with the register and the customer list.
     """
+    rows = stage(rows)
     root = root_of(F.col("cnpj"))
     served = (
         rows.where(F.col("cliente_atendido"))
