@@ -81,12 +81,12 @@ def mark_selected(points: DataFrame, selected_roots: Sequence[str] | DataFrame)
     return marked.withColumn("selecionado", F.coalesce("selecionado", F.lit(False)))
 
 
-def _nearest(finals: DataFrame, points: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Nearest distributor per distinct client point, with its names."""
-    hit = nearest_site(finals, points, "cnpj")
-    info = points.select("cnpj", *[c for c in names if c in points.columns and c != "cnpj"])
-    return hit.join(info, "cnpj").select(
-        "lat", "lon", *[F.col(src).alias(dst) for src, dst in names.items()]
+def _named(hits: DataFrame, points: DataFrame, site: str, names: dict[str, str]) -> DataFrame:
+    """Replaces a site id by the columns `names` of its distributor; null stays null."""
+    info = points.select(F.col("cnpj").alias(site), *[F.col(c).alias(f"_{c}") for c in names if c in points.columns])
+    named = hits.join(info, site, "left")
+    return named.withColumns({new: F.col(f"_{c}") for c, new in names.items() if c in points.columns}).drop(
+        *[f"_{c}" for c in names]
     )
 
 
@@ -115,25 +115,25 @@ def allocate(
     distributors, a customer is outside and has no distance.
     """
     names = {
-        "cnpj": "cnpj_distrib_proximo",
         "cnpj_basico": "cnpj_basico_distrib",
         "nome_fantasia": "nome_distrib",
         "razao_social": "razao_distrib",
-        "dist_km": "dist_km_min",
     }
     selected = isinstance(selected_roots, DataFrame) or bool(selected_roots)
+    renamed = {"cnpj": "cnpj_distrib_proximo", "dist_km": "dist_km_min"}
     if not selected:
-        hits = own_exchange(_nearest(finals, points, names))
+        sites = nearest_site(finals, points, "cnpj").withColumnsRenamed(renamed)
+        hits = own_exchange(_named(sites, points, "cnpj_distrib_proximo", names))
         out = finals.join(hits, ["lat", "lon"], "left").withColumns(
             {c: F.lit(None).cast("double" if c == "dist_km_sel" else "string") for c in _CHOSEN.values()}
         )
         return out.withColumn("atendimento_via", _category(radius_km, False, False))
 
     marked = mark_selected(points, selected_roots)
-    chosen_names = {src: _CHOSEN[dst] for src, dst in names.items()}
-    overall = _nearest(finals, marked, {**names, "selecionado": "_ours"})
-    chosen = _nearest(finals, marked.where("selecionado"), chosen_names)
-    hits = overall.join(chosen, ["lat", "lon"], "left")
+    renamed |= {"cnpj_chosen": _CHOSEN["cnpj_distrib_proximo"], "dist_km_chosen": _CHOSEN["dist_km_min"]}
+    sites = nearest_site(finals, marked, "cnpj", chosen="selecionado").withColumnsRenamed(renamed)
+    hits = _named(sites, marked, "cnpj_distrib_proximo", {**names, "selecionado": "_ours"})
+    hits = _named(hits, marked, "cnpj_distrib_sel", {c: _CHOSEN[new] for c, new in names.items()})
     out = finals.join(own_exchange(hits), ["lat", "lon"], "left")
     out = out.withColumn("atendimento_via", _category(radius_km, True, prioritise)).drop("_ours")
     if prioritise:

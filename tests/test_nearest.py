@@ -52,6 +52,37 @@ def test_against_brute_force(spark, leaf):
     check(spark, points, [(f"{i:03d}", la, lo) for i, (la, lo) in enumerate(places)], leaf)
 
 
+@pytest.mark.parametrize("leaf", [1, 8, 1000])
+def test_chosen_sites_in_the_same_descent(spark, leaf):
+    rng = random.Random(leaf + 1)
+    points = scattered(rng, 50) + town(rng, 50) + [(89.9, 10.0), (0.0, 179.99)]
+    places = scattered(rng, 25) + town(rng, 40) + [(0.1, 179.9), (0.1, -179.9), (90.0, 0.0)]
+    sites = [(f"{i:03d}", la, lo, None if i % 7 == 0 else i % 5 == 0) for i, (la, lo) in enumerate(places)]
+    p = spark.createDataFrame(points, "lat double, lon double")
+    s = spark.createDataFrame(sites, "cnpj string, lat double, lon double, ours boolean")
+    got = {(r.lat, r.lon): r for r in nearest_site(p, s, "cnpj", leaf=leaf, chosen="ours").collect()}
+    every = brute(points, [x[:3] for x in sites])
+    chosen = brute(points, [x[:3] for x in sites if x[3]])
+    assert set(got) == set(every)
+    for point, r in got.items():
+        assert (r.cnpj, r.cnpj_chosen) == (every[point][1], chosen[point][1])
+        assert abs(r.dist_km - every[point][0]) < 1e-6 and abs(r.dist_km_chosen - chosen[point][0]) < 1e-6
+    none = nearest_site(p, s.withColumn("ours", s.ours & False), "cnpj", leaf=leaf, chosen="ours").collect()
+    assert {(r.lat, r.lon): r.cnpj for r in none} == {k: v[1] for k, v in every.items()}
+    assert all(r.cnpj_chosen is None and r.dist_km_chosen is None for r in none)
+
+
+def test_allocation_descends_once(spark, monkeypatch):
+    from marketreach.operators import indirect
+
+    calls = []
+    monkeypatch.setattr(indirect, "nearest_site", lambda *a, **k: calls.append(k) or nearest_site(*a, **k))
+    finals = spark.createDataFrame([("f1", 0.0, 0.0)], "cnpj string, lat double, lon double")
+    sites = spark.createDataFrame([("d1", "r1", "n1", "z1", 0.0, 0.5)], NAMES)
+    assert allocate(finals, sites, 150.0, ["r1"], True).first().cnpj_distrib_sel == "d1"
+    assert len(calls) == 1
+
+
 def test_far_from_every_site(spark):
     rng = random.Random(5)
     check(spark, scattered(rng, 40), [("a", -89.0, 0.0), ("b", -88.0, 170.0)], 1)
