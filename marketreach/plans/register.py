@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from marketreach.functions.text import pad_code
 from marketreach.operators.joins import describe, keep_one, own_exchange
 from marketreach.session import tune
 from marketreach.sources.exports import write_table
-from marketreach.sources.register import load_lookups, read_register, read_simples
+from marketreach.sources.register import load_lookups, malformed, read_register, read_simples
 
 ESTABLISHMENT_DATES = ["data_situacao_cadastral", "data_inicio_atividade", "data_situacao_especial"]
 DROPPED = ["ddd2", "telefone2", "ddd_fax", "fax"]
@@ -181,16 +182,22 @@ def run_register(
     companies_mode: str = "ignore",
     dedupe: bool = False,
     partition_by: str | None = None,
+    line_breaks: bool = False,
+    report_dropped: bool = True,
 ) -> dict[str, str]:
     """Write companies, establishments, partners and the wide table; returns their paths.
 
+    `line_breaks` is for extracts whose quoted fields hold line breaks; their quotes must be balanced.
+    `report_dropped` writes the records with a wrong number of fields (`tabela, file, record`), at the
+    price of one more pass over the text files.
+
     Stages are written as Parquet and read back, so the text files are parsed once and a lost
     executor repeats only its part of the stage. `companies_mode="ignore"` keeps an existing stage.
     """
     tune(spark)
     lookups = load_lookups(spark, lookups_dir)
-    raw_companies = read_register(spark, companies_dir, L.COMPANIES)
-    raw_establishments = read_register(spark, establishments_dir, L.ESTABLISHMENTS)
+    raw_companies = read_register(spark, companies_dir, L.COMPANIES, line_breaks=line_breaks)
+    raw_establishments = read_register(spark, establishments_dir, L.ESTABLISHMENTS, line_breaks=line_breaks)
     paths = {
         "empresas": write_table(
             companies(raw_companies, lookups), f"{output}/empresas", companies_mode
@@ -200,10 +207,18 @@ def run_register(
         ),
     }
     if include_partners:
-        raw_partners = read_register(spark, partners_dir, L.PARTNERS)
+        raw_partners = read_register(spark, partners_dir, L.PARTNERS, line_breaks=line_breaks)
         paths["socios"] = write_table(partners(raw_partners, lookups), f"{output}/socios")
-
-    raw_simples = read_simples(spark, lookups_dir) if include_simples else None
+    if report_dropped:
+        read = [("empresas", companies_dir, L.COMPANIES), ("estabelecimentos", establishments_dir, L.ESTABLISHMENTS)]
+        read += [("socios", partners_dir, L.PARTNERS)] if include_partners else []
+        dropped = [
+            malformed(spark, folder, columns, line_breaks=line_breaks).select(F.lit(name).alias("tabela"), "file", "record")
+            for name, folder, columns in read
+        ]
+        paths["descartados"] = write_table(reduce(DataFrame.unionByName, dropped), f"{output}/descartados")
+
+    raw_simples = read_simples(spark, lookups_dir, line_breaks) if include_simples else None
     wide = wide_table(
         spark.read.parquet(paths["estabelecimentos"]),
         spark.read.parquet(paths["empresas"]),

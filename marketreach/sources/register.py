@@ -9,23 +9,32 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from marketreach import layouts as L
+from marketreach.sources.records import read_records
 
 DROPPED = "_dropped"
+ENCODING = "ISO-8859-1"
+FORMAT = {"sep": ";", "quote": '"', "escape": '"'}
 
 
-def _csv(spark: SparkSession, line_breaks: bool, pattern: str) -> DataFrameReader:
+def _csv(spark: SparkSession, pattern: str) -> DataFrameReader:
     """Reader of register files. Column pruning is off: a pruned parse cannot see a malformed row."""
     return (
-        spark.read.option("sep", ";")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "ISO-8859-1")
+        spark.read.options(**FORMAT)
+        .option("encoding", ENCODING)
         .option("columnPruning", "false")
-        .option("multiLine", str(line_breaks).lower())
         .option("pathGlobFilter", pattern)
     )
 
 
+def _parsed(spark: SparkSession, folder: str, columns: list[str], pattern: str) -> DataFrame:
+    """file, record and row: records that may hold line breaks, with `DROPPED` set in malformed ones."""
+    schema = ", ".join(f"`{c}` string" for c in [*columns, DROPPED])
+    options = {**FORMAT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": DROPPED, "columnPruning": "false"}
+    found = read_records(spark, folder, pattern, ENCODING)
+    row = F.from_csv("record", schema, options)
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "record", row.alias("row"))
+
+
 def read_register(
     spark: SparkSession,
     folder: str,
@@ -35,10 +44,13 @@ def read_register(
 ) -> DataFrame:
     """All files of a folder as text columns; rows with too few or too many fields are dropped.
 
-    `malformed` gives the dropped rows. With `line_breaks`, quoted fields may hold line breaks; each
-    file is then read by one task.
+    `malformed` gives the dropped rows. With `line_breaks`, quoted fields may hold line breaks; the
+    files are split all the same (`sources.records`).
     """
-    reader = _csv(spark, line_breaks, pattern).schema(L.text_schema(columns))
+    if line_breaks:
+        rows = _parsed(spark, folder, columns, pattern).where(F.col(f"row.{DROPPED}").isNull())
+        return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    reader = _csv(spark, pattern).schema(L.text_schema(columns))
     return reader.option("mode", "DROPMALFORMED").csv(folder)
 
 
@@ -50,8 +62,11 @@ def malformed(
     line_breaks: bool = False,
 ) -> DataFrame:
     """`file, record`: what `read_register` drops from the same files."""
+    if line_breaks:
+        bad = _parsed(spark, folder, columns, pattern).where(F.col(f"row.{DROPPED}").isNotNull())
+        return bad.select("file", "record")
     schema = L.text_schema([*columns, DROPPED])
-    reader = _csv(spark, line_breaks, pattern).schema(schema)
+    reader = _csv(spark, pattern).schema(schema)
     rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DROPPED).csv(folder)
     # Spark refuses a query that needs nothing but the record, so a field takes part: none is longer
     held = F.length(DROPPED) >= F.length(F.coalesce(columns[0], F.lit("")))
@@ -92,10 +107,10 @@ def load_lookups(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read_lookup(spark, folder, f) for name, f in found.items() if f}
 
 
-def read_simples(spark: SparkSession, folder: str) -> DataFrame | None:
+def read_simples(spark: SparkSession, folder: str, line_breaks: bool = False) -> DataFrame | None:
     """Small-business regime extract, or None when the folder has none."""
     name = first_file(spark, folder, L.SIMPLES_FILES)
-    return read_register(spark, folder, L.SIMPLES, name) if name else None
+    return read_register(spark, folder, L.SIMPLES, name, line_breaks) if name else None
 
 
 def inventory(files: DataFrame) -> DataFrame:

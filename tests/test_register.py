@@ -105,6 +105,10 @@ def test_whole_job(spark, landing, tmp_path):
     assert five.razao_social is None and five.opcao_mei is None
     assert "pais_nome" not in wide.columns and "secao" not in wide.columns
     assert wide.columns[-6:] == L.SIMPLES[1:]
+    dropped = spark.read.parquet(paths["descartados"]).collect()
+    assert sorted(tuple(r) for r in dropped) == [
+        ("empresas", "Empresas0.csv", '"curta";"so dois"'), ("empresas", "Empresas0.csv", '"longa";"a";"b";"c";"1,0";"05";"";"extra"'),
+    ]
 
     socios = {r.nome_socio: r for r in spark.read.parquet(paths["socios"]).collect()}
     assert socios["JOSÉ"].qualificacao_socio_desc == "Sócio-Administrador"
@@ -117,9 +121,9 @@ def test_options(spark, landing, tmp_path):
     )
     paths = run(
         spark, landing, tmp_path, only_active=False, include_partners=False, include_simples=False,
-        hierarchy=hier, dedupe=True, partition_by="uf",
+        hierarchy=hier, dedupe=True, partition_by="uf", line_breaks=True, report_dropped=False,
     )
-    assert "socios" not in paths
+    assert "socios" not in paths and "descartados" not in paths
     wide = spark.read.parquet(paths["unificada"])
     assert wide.count() == 4 and wide.where("classe = '4744'").count() == 1
     assert dict(wide.dtypes)["data_opcao_mei"] == "timestamp" and wide.where("opcao_simples is not null").count() == 0
