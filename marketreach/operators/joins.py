@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketreach.functions.text import clean_id, place_key
 
+FILTER_WORDS = 1 << 16  # 64-bit words of a key filter: 512 KB
+
+
 def own_exchange(side: DataFrame) -> DataFrame:
     """Join side that brings no partitioning of its own.
 
@@ -45,6 +50,37 @@ def without_matching(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on), on, "left_anti")
 
 
+def _bit_places(value: Column) -> tuple[Column, Column]:
+    """Two places of a value among the bits of a filter, from the halves of one hash."""
+    h, mask = F.xxhash64(value), F.lit(64 * FILTER_WORDS - 1).cast("long")
+    return h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)
+
+
+def key_filter(ids: DataFrame, on: str) -> Callable[[Column], Column]:
+    """Condition that holds for every value of `ids` and, the fewer they are, for few others.
+
+    The values set bits of a table of fixed size, which the plan works out once and sends along as a
+    scalar. It is put on the long side of a join before that side moves; the join itself stays exact.
+    Unlike a semi join it neither moves the long side nor lends it a partitioning, so a hot id can
+    still be split. More than some millions of values fill the table, and then all rows pass.
+    """
+    places = F.explode(F.array(*_bit_places(F.col(on))))
+    bits = ids.where(F.col(on).isNotNull()).select(places.alias("_p")).groupBy(
+        F.shiftright("_p", 6).alias("id")
+    ).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_w"))
+    table = ids.sparkSession.range(FILTER_WORDS).join(bits, "id", "left").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("id", F.coalesce("_w", F.lit(0).cast("long")).alias("w")))), lambda r: r["w"]
+        )
+    ).scalar()
+
+    def holds(value: Column) -> Column:
+        tests = [F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) for p in _bit_places(value)]
+        return (tests[0] == 1) & (tests[1] == 1)
+
+    return holds
+
+
 def attach_place(
     df: DataFrame,
     centroids: DataFrame,

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from marketreach import layouts as L
 from marketreach.functions.numeric import decimal_comma
 from marketreach.functions.text import split_codes
-from marketreach.operators.joins import own_exchange, with_id
+from marketreach.operators.joins import key_filter, own_exchange, with_id
 
 
+def _listed(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Register rows that may be on the customer list (`_id`); the others do not reach the join."""
+    return base.where(key_filter(ids, "_id")(F.col("cnpj")))
+
 
 def enrich(upload: DataFrame, base: DataFrame, key: str) -> DataFrame:
     """Upload LEFT register on the normalised id (`_id`); register columns win name conflicts."""
     rows = with_id(upload.drop(*[c for c in L.ENRICHMENT if c in upload.columns]), key)
     brought = [c for c in L.ENRICHMENT if c in base.columns]
-    side = base.select(F.col("cnpj").alias("_id"), *brought)
+    side = _listed(base, rows).select(F.col("cnpj").alias("_id"), *brought)
     return rows.join(side, "_id", "left")
 
 
@@ -27,7 +31,7 @@ def enrich_all(upload: DataFrame, base: DataFrame, key: str, value: str | None =
     rows = with_id(upload, key)
     if value in rows.columns:
         rows = rows.withColumn(value, decimal_comma(F.col(f"`{value}`")))
-    side = base.withColumnRenamed("cnpj", "_id")
+    side = _listed(base, rows).withColumnRenamed("cnpj", "_id")
     side = side.drop(*[c for c in side.columns if c in rows.columns and c != "_id"])
     out = rows.join(side, "_id", "left")
     if value in rows.columns:
@@ -38,15 +42,27 @@ def enrich_all(upload: DataFrame, base: DataFrame, key: str, value: str | None =
     return out.drop("_id")
 
 
-def segment_values(upload: DataFrame, segment: str, most: int | None = None) -> list:
-    """Sorted segment values, which become columns; more than `most` are refused, if that is given."""
+MOST_SEGMENTS = 1000  # columns per value; a longer list of segments is a table, not columns
+
+
+def segment_values(upload: DataFrame, segment: str, most: int = MOST_SEGMENTS) -> list:
+    """Sorted segment values, which become columns; more than `most` are refused (see `segment_totals`)."""
     values = upload.select(segment).where(F.col(segment).isNotNull()).distinct().orderBy(segment)
-    found = (values if most is None else values.limit(most + 1)).collect()
-    if most is not None and len(found) > most:
-        raise ValueError(f"column {segment} has more than {most} values")
+    found = values.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"column {segment} has more than {most} values: use segment_totals")
     return [r[0] for r in found]
 
 
+def segment_totals(upload: DataFrame, key: str, segment: str, value: str) -> DataFrame:
+    """`_id, segment, n, value`: the pivot as a long table, for any number of segments."""
+    rows = with_id(upload, key).withColumn(value, decimal_comma(F.col(f"`{value}`")))
+    rows = rows.where(F.col(segment).isNotNull() & F.col("_id").isNotNull())
+    return rows.groupBy("_id", segment).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias(value)
+    )
+
+
 def enrich_pivot(
     upload: DataFrame,
     base: DataFrame,
@@ -80,7 +96,7 @@ def enrich_pivot(
         aggregates.append(F.max(F.when(here, F.col(segment))).alias(f"{segment}_{seg}"))
     wide = rows.groupBy("_id").agg(*aggregates)
 
-    side = base.withColumnRenamed("cnpj", "_id")
+    side = _listed(base, rows).withColumnRenamed("cnpj", "_id")
     side = side.drop(*[c for c in side.columns if c in wide.columns and c != "_id"])
     out = wide.join(side, "_id", "left")
     total = sum((F.coalesce(F.col(f"`{value}_{s}`"), F.lit(0.0)) for s in segments), F.lit(0.0))

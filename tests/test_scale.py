@@ -149,3 +149,24 @@ def test_enrichment_with_a_hot_id(spark, rows):
         out, plan = collect_plan(uploads.enrich(upload, base, "id"))
     assert "BroadcastHashJoin" not in plan and "skew=true" in plan
     assert len(out) == ROWS and sum(r.uf is None for r in out) == HOT
+
+
+def test_register_is_filtered_before_it_moves(spark, tmp_path):
+    """The customer list drops register rows below the exchange of the join, and loses no match."""
+    n = 200_000
+    base = spark.range(n).select(F.lpad(F.col("id").cast("string"), 14, "0").alias("cnpj"), F.lit("47").alias("cnae_principal"))
+    base.write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    upload = spark.range(0, n + 5000, 1009).select(F.col("id").cast("string").alias("CNPJ"), F.lit("1,5").alias("valor"))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        df = uploads.enrich(upload, base, "CNPJ")
+        out, plan = collect_plan(df)
+    assert sum(r.cnae_principal is not None for r in out) == len(range(0, n, 1009)) and len(out) == upload.count()
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "getbit" in line)
+    assert "Project" in lines[at - 1] and "Exchange hashpartitioning(_id" in lines[at - 2]
+    ids = joins.with_id(upload, "CNPJ")
+    assert base.where(joins.key_filter(ids, "_id")(F.col("cnpj"))).count() < 2 * upload.count()
+    assert base.where(joins.key_filter(ids.where("false"), "_id")(F.col("cnpj"))).count() == 0
+    full = spark.range(3_000_000).select(F.col("id").cast("string").alias("_id"))
+    assert full.where(joins.key_filter(full, "_id")(F.col("_id"))).count() == 3_000_000

@@ -100,6 +100,8 @@ def test_pivot_refuses_many_segments(spark):
     with pytest.raises(ValueError):
         U.segment_values(df, "seg", 10)
     assert len(U.segment_values(df, "seg")) == 11
+    table = U.segment_totals(df.select(F.lit("7").alias("k"), "seg", F.lit("1,5").alias("v")), "k", "seg", "v")
+    assert {(r.n, r.v) for r in table.collect()} == {(1, 1.5)} and table.count() == 11
 
 
 def test_per_customer_and_duplicates(upload):
