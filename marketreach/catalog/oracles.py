@@ -170,6 +170,10 @@ GRID = (
     + " AS j FROM foco WHERE NOT cliente_atendido AND lat IS NOT NULL AND lon IS NOT NULL) GROUP BY i, j)"
 )
 
+JOB = "WITH " + RAW + """
+    SELECT cnpj, cnpj_basico, nome_fantasia, inicio, cep, replace(razao_social, '#', chr(10)) AS razao_social, capital_social,
+           porte, porte_desc FROM rawe LEFT JOIN rawc USING (cnpj_basico)"""
+
 SQL: dict[str, str] = {
     "coverage_kpis": _sql(
         f"""
@@ -524,4 +528,29 @@ SQL: dict[str, str] = {
         """SELECT uf, count(*) AS n, count(*) FILTER (cliente_atendido) AS atendidos,
                   round_even(count(*) FILTER (cliente_atendido) / count(*) * 100, 1) AS pct FROM foco GROUP BY uf"""
     ),
+    "register_job": JOB,
+    "register_rebuild": JOB,
+    "malformed_records": """SELECT '"' || s_suppkey || '";"' || s_name || '"' AS record FROM supplier WHERE s_suppkey % 10 = 0""",
+    "landing_inventory": """
+        SELECT CASE doc_id % 4 WHEN 0 THEN 'empresas' WHEN 1 THEN 'estabelecimentos' WHEN 2 THEN 'socios' ELSE 'auxiliares' END AS grupo,
+               count(*) AS arquivos, CAST(sum(length(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1""",
+    "upload_line_breaks": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS linha, o_orderpriority AS canal, o_orderpriority || chr(10) || o_orderstatus AS obs FROM orders""",
+    "version_list": _sql(
+        """SELECT 0::INTEGER AS version, 'inicio' AS label, count(*) AS rows, 0::BIGINT AS rows_changed FROM seg
+           UNION ALL SELECT 1, 'regiao', (SELECT count(*) FROM seg), count(*) FILTER (regiao = 1) FROM seg JOIN reg USING (cnpj)""",
+        VENN,
+    ),
+    "version_load": _sql(
+        "SELECT CASE WHEN regiao = 1 THEN 'A' END AS segmentacao, count(*) AS qtd FROM seg LEFT JOIN reg USING (cnpj) GROUP BY 1", VENN
+    ),
+    "coordinates_job": _sql(
+        """
+        SELECT cnpj, round(m.lat, 6) AS lat, round(m.lon, 6) AS lon
+        FROM est LEFT JOIN (
+            SELECT cep5, lat, lon FROM cache WHERE status IN ('ok', 'not_found') AND lat IS NOT NULL
+            UNION ALL SELECT cep5, -10e0 - num * 0.001e0, -50e0 - num * 0.001e0 FROM pend WHERE ok) m
+        ON left(regexp_replace(coalesce(cep, ''), '[^0-9]', '', 'g'), 5) = m.cep5""",
+        REPS,
+    ),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,12 @@ from marketreach.operators import (
     uploads,
 )
 from marketreach.plans import register
+from marketreach.plans.focus import run_coordinates, run_pending
 from marketreach.plans.reports import Cleaning, cleaned_market
-from marketreach.session import stage, tune
+from marketreach.session import shared_folder, stage, tune
 from marketreach.sources import snapshots
-from marketreach.sources.uploads import numeric_shares
+from marketreach.sources.register import inventory, malformed
+from marketreach.sources.uploads import numeric_shares, read_upload
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -508,7 +511,7 @@ def version_diff(spark, folder):
 
 
 def _raw_companies(spark, folder) -> DataFrame:
-    """Supplier and customer companies as raw register text."""
+    """Supplier companies as raw register text."""
     s = V.table(spark, folder, "supplier")
     return s.select(
         F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("cnpj_basico"),
@@ -574,8 +577,9 @@ def etl_unified(spark, folder):
 @query
 def etl_hierarchy_join(spark, folder):
     """Wide rows per section and class of the hierarchy joined to them."""
-    hier = V.hierarchy(spark, folder).select(F.col("subclasse").alias("cnae_principal"), "secao", "classe")
-    rows = V.est(spark, folder).join(hier, "cnae_principal", "left")
+    est = V.est(spark, folder).select("cnpj", "cnpj_basico", "cnae_principal")
+    firms = register.companies(_raw_companies(spark, folder), {})
+    rows = register.wide_table(est, firms, {}, hierarchy=V.hierarchy(spark, folder))
     return rows.groupBy("secao", "classe").agg(F.count(F.lit(1)).alias("linhas"))
 
 
@@ -835,3 +839,116 @@ def served_share(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count_if("cliente_atendido").alias("atendidos")
     )
     return out.withColumn("pct", percent(F.col("atendidos"), F.col("n")))
+
+
+# ---- jobs: what they write, read back ------------------------------------------------------------
+
+
+def _folder(spark, kind: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def _write_extract(rows: DataFrame, path: str, header: bool = False) -> str:
+    """Rows as quoted text in the register's format."""
+    rows.write.csv(path, sep=";", quoteAll=True, escape='"', header=header, emptyValue="")
+    return path
+
+
+def _register_job(spark, folder) -> tuple[str, dict[str, str]]:
+    """The register job over extracts whose company names hold line breaks."""
+    root = _folder(spark, "landing")
+    firms = _raw_companies(spark, folder).withColumn("razao_social", F.replace("razao_social", F.lit("#"), F.lit("\n")))
+    companies = _write_extract(firms, f"{root}/empresas")
+    places = _write_extract(_raw_establishments(spark, folder), f"{root}/estabelecimentos")
+    out = f"{root}/saida"
+    paths = register.run_register(
+        spark, companies, places, f"{root}/socios", f"{root}/tabelas", out,
+        include_partners=False, include_simples=False, line_breaks=True,
+    )
+    return root, paths
+
+
+def _job_columns(wide: DataFrame) -> DataFrame:
+    return wide.select(
+        "cnpj", "cnpj_basico", "nome_fantasia", F.date_format("data_inicio_atividade", "yyyy-MM-dd").alias("inicio"), "cep",
+        "razao_social", "capital_social", "porte", "porte_desc",
+    )
+
+
+@query
+def register_job(spark, folder):
+    """Wide table that the register job writes, from extracts read in ranges."""
+    return _job_columns(spark.read.parquet(_register_job(spark, folder)[1]["unificada"]))
+
+
+@query
+def register_rebuild(spark, folder):
+    """The wide table from the stages of an earlier job."""
+    root, _ = _register_job(spark, folder)
+    return _job_columns(register.rebuild_wide(spark, f"{root}/saida", f"{root}/tabelas"))
+
+
+@query
+def malformed_records(spark, folder):
+    """Records with a field too few, every tenth of the companies."""
+    s = V.table(spark, folder, "supplier")
+    rest = F.when(F.col("s_suppkey") % 10 == 0, "").otherwise(';"x"')
+    line = F.concat(F.lit('"'), F.col("s_suppkey").cast("string"), F.lit('";"'), "s_name", F.lit('"'), rest)
+    where = _folder(spark, "landing")
+    s.select(line).write.text(where)
+    return malformed(spark, where, ["a", "b", "c"], "*.txt", line_breaks=True).select("record")
+
+
+@query
+def landing_inventory(spark, folder):
+    """Files by kind, one file per document."""
+    docs = V.table(spark, folder, "documents")
+    kinds = F.array(*[F.lit(k) for k in ("Empresas", "ESTABELECIMENTOS", "socios", "F.K03200")])
+    name = F.concat(F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")), F.col("doc_id").cast("string"), F.lit(".csv"))
+    return inventory(docs.select(name.alias("name"), F.length("text").cast("long").alias("length")))
+
+
+@query
+def upload_line_breaks(spark, folder):
+    """Customer list with line breaks in a field, read in ranges."""
+    rows = V.upload(spark, folder).select(
+        "linha", "canal", F.concat("canal", F.lit("\n"), "segmento").alias("obs")
+    )
+    return read_upload(spark, _write_extract(rows, _folder(spark, "uploads"), header=True), line_breaks=True)
+
+
+def _saved_versions(spark, folder) -> str:
+    """Two versions of the customer list: unlabelled, then with one region labelled."""
+    rows = _segment_rows(spark, folder).select("linha", "cnpj", "canal", "segmento", "cnae_principal", "valor")
+    root = _folder(spark, "versions")
+    first = snapshots.save_version(snapshots.with_label_column(rows), root, "carteira", "inicio", "linha")
+    before = snapshots.load_version(spark, root, "carteira", first)
+    after = segments.label_region(before, _members(rows), "cnpj", 1, "A")
+    snapshots.save_version(after, root, "carteira", "regiao", "linha", previous=first)
+    return root
+
+
+@query
+def version_list(spark, folder):
+    """Metadata of two saved versions."""
+    found = snapshots.list_versions(spark, _saved_versions(spark, folder), "carteira")
+    return found.select("version", "label", "rows", "rows_changed")
+
+
+@query
+def version_load(spark, folder):
+    """Labels of the newest saved version."""
+    root = _saved_versions(spark, folder)
+    saved = snapshots.load_version(spark, root, "carteira", snapshots.next_version(spark, root, "carteira") - 1)
+    return saved.groupBy(snapshots.LABEL).agg(F.count(F.lit(1)).alias("qtd"))
+
+
+@query
+def coordinates_job(spark, folder):
+    """Pending prefixes written, resolved, merged into the cache and put on the rows."""
+    root = _folder(spark, "cache")
+    rows, cache = V.est(spark, folder).drop("lat", "lon"), V.cache(spark, folder)
+    waiting = spark.read.parquet(run_pending(spark, rows, cache, f"{root}/pendentes"))
+    paths = run_coordinates(spark, rows, cache, _fresh(waiting, cache.columns), f"{root}/foco", f"{root}/cache")
+    return spark.read.parquet(paths["foco"]).select("cnpj", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
