@@ -500,11 +500,8 @@ def segment_apply(spark, folder):
 
 @query
 def version_diff(spark, folder):
-    rows = _segment_rows(spark, folder).select("linha", "cnpj", "canal", "segmento", "cnae_principal", "valor")
-    start = snapshots.with_label_column(rows)
-    members = _members(rows)
-    after = segments.label_region(start, members, "cnpj", 1, "A")
-    return snapshots.changed_rows(after, start, "linha")
+    """Rows whose label differs between two saved versions."""
+    return snapshots.changed_between(spark, _saved_versions(spark, folder), "carteira", 1, 0, "linha")
 
 
 # ---- register ----------------------------------------------------------------------------------

@@ -1,3 +1,6 @@
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,17 +92,71 @@ def test_versions(spark, rows, members, tmp_path):
     assert [(p.project, p.n_versions, p.latest_version, p.source_file) for p in projects] == [("q", 1, 0, "q.csv"), ("p", 2, 1, "base.csv")]
 
 
-def test_a_version_is_never_overwritten(spark, rows, tmp_path):
-    root = str(tmp_path / "v")
-    snapshots.save_version(rows, root, "p", "x", "linha")
-    with pytest.raises(Exception, match="already exists"):
-        rows.write.mode("errorifexists").parquet(snapshots.data_path(root, "p", 0))
+def test_a_record_is_never_overwritten(spark, tmp_path):
+    path = str(tmp_path / "log" / "0.json")
+    assert snapshots.create_once(spark, path, "one") and not snapshots.create_once(spark, path, "two")
+    assert [f.name for f in (tmp_path / "log").iterdir()] == ["0.json"]
+    assert (tmp_path / "log" / "0.json").read_text() == "one"
 
 
-def test_a_failed_save_blocks_no_later_one(spark, rows, tmp_path):
+def test_a_failed_save_is_invisible(spark, rows, tmp_path, monkeypatch):
     root = str(tmp_path / "v")
     assert snapshots.save_version(rows, root, "a/b = c", "x", "linha") == 0
-    rows.write.parquet(snapshots.data_path(root, "a/b = c", 1))  # died before its metadata row
-    assert snapshots.save_version(rows, root, "a/b = c", "y", "linha", previous=0) == 2
-    assert snapshots.load_version(spark, root, "a/b = c", 2).count() == rows.count()
-    assert [r.version for r in snapshots.list_versions(spark, root, "a/b = c").collect()] == [2, 0]
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, "create_once", lost)
+        with pytest.raises(OSError, match="lost"):
+            snapshots.save_version(rows, root, "a/b = c", "died before its record", "linha")
+    assert snapshots.save_version(rows, root, "a/b = c", "y", "linha", previous=0) == 1
+    assert snapshots.load_version(spark, root, "a/b = c", 1).count() == rows.count()
+    assert [r.version for r in snapshots.list_versions(spark, root, "a/b = c").collect()] == [1, 0]
+    with pytest.raises(LookupError):
+        snapshots.load_version(spark, root, "a/b = c", 2)
+
+
+def test_savers_at_once_get_numbers_of_their_own(spark, rows, tmp_path):
+    root = str(tmp_path / "v")
+    with ThreadPoolExecutor(4) as pool:
+        saves = [pool.submit(snapshots.save_version, rows, root, "p", str(i), "linha", parts=2) for i in range(4)]
+        numbers = {s.result(): str(i) for i, s in enumerate(saves)}
+    assert sorted(numbers) == [0, 1, 2, 3]
+    assert {m.version: m.label for m in snapshots.metadata(spark, root).collect()} == numbers
+
+
+def test_a_comparison_reads_the_parts_that_differ(spark, tmp_path):
+    root = str(tmp_path / "v")
+    base = spark.range(200).select(F.col("id").alias("linha"), F.lit(None).cast("string").alias("segmentacao"))
+    moved = base.withColumn("segmentacao", F.when(F.col("linha") == 7, "A"))
+    empty = base.limit(0)
+    for version, df in enumerate((base, moved, moved, empty)):
+        assert snapshots.save_version(df, root, "p", "x", "linha", previous=version - 1 if version else None) == version
+    meta = snapshots.list_versions(spark, root, "p").collect()
+    assert [(m.rows, m.rows_changed) for m in meta] == [(0, 0), (200, 0), (200, 1), (200, 0)]
+    assert snapshots.load_version(spark, root, "p", 3).columns == ["linha", "segmentacao"]
+
+    def between(new, old):
+        found = snapshots.changed_between(spark, root, "p", new, old, "linha")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return found.first()["rows_changed"], [line for line in plan.splitlines() if "FileScan" in line]
+
+    changed, scans = between(1, 0)
+    assert changed == 1 and len(scans) == 2
+    assert all(re.search(rf"PartitionFilters: \[[^\]]*{snapshots.PART}#\d+ = \d+\)", s) for s in scans)  # one part
+    assert between(2, 1) == (0, [])
+    assert between(3, 1) == (0, [])
+
+
+def test_repeated_ids_pair_up_as_in_memory(spark, tmp_path):
+    """Half the rows share an id; equal digests must not hide pairs of its rows."""
+    root = str(tmp_path / "v")
+    rows = [(1, "A" if i % 2 else "B") for i in range(40)] + [(i, "A") for i in range(2, 42)] + [(None, "A"), (None, None)]
+    df = spark.createDataFrame(rows, "linha long, segmentacao string")
+    want = snapshots.changed_rows(df, df, "linha").first()["rows_changed"]
+    snapshots.save_version(df, root, "p", "x", "linha")
+    snapshots.save_version(df, root, "p", "y", "linha", previous=0)
+    snapshots.save_version(df.withColumn("linha", F.col("linha").cast("string")), root, "p", "z", "linha", previous=0, parts=3)
+    meta = snapshots.list_versions(spark, root, "p").collect()
+    assert [m.rows_changed for m in meta] == [want, want, 0] and want == 800
