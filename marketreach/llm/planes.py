@@ -231,7 +231,11 @@ def write(encoded: DataFrame, folder: str, bits: bool = False) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids of each document."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids of each document.
+
+    A task reads one shard: the number of partitions is asked for, so adaptive execution, which sees
+    only the few bytes of the manifest, does not put them together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -241,7 +245,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 with system.open_input_file(place) as file:
                     yield from _documents(file, unpack, first)
 
-    shards = manifest.repartition(F.col("shard")).select("path", "first")
+    shards = manifest.select("path", "first").repartition(max(manifest.count(), 1))
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

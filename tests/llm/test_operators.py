@@ -239,6 +239,19 @@ def test_planes_round_trip(spark, folder):
     assert planes.read(planes.write(planes.encode(docs.limit(0)), f"{target}-none")).count() == 0
 
 
+def test_a_task_reads_one_shard(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        manifest = planes.write(planes.encode(docs), f"{planes.shared_folder(spark)}/planes-tasks")
+    finally:
+        spark.conf.set(merging, "true")
+    sizes = sorted(r.n_docs for r in manifest.collect())
+    tasks = planes.read(manifest).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(sizes) > 1 and sorted(r["count"] for r in tasks) == sizes
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_plane_shuffle(bits):
     ids = np.random.default_rng(1).integers(0, 2**32, 999, dtype=np.uint64).astype("<u4")
