@@ -10,7 +10,8 @@ Ranks and rolling hashes are made in two levels, within blocks of `SPAN` turn nu
 blocks, so that a conversation that holds much of the table is spread over many tasks; the text of a
 turn takes no part in it. Only rendering puts a conversation together, as its result is one value.
 
-Defined cases: turns are ordered by turn (null first), then by hashes of role and text; a null role is `unknown`, a null text
+Defined cases: turns are ordered by turn (null first), then by the MD5 of role and of text, in the SQL as
+well, so that no text is moved for the order; a null role is `unknown`, a null text
 empty; rows without a conv_id form one conversation; repeated rows are turns of their own; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -54,10 +55,12 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 def salted_turns(rows: DataFrame) -> DataFrame:
     """Written table (conv_id, block, n, x1, x2): rank and hashes, salted by it, of every turn."""
     narrow = turns(rows).select(
-        "conv_id", "block", "turn", F.xxhash64("role", "body").alias("a"), F.xxhash64("body", "role", F.length("body")).alias("b")
-    )
+        "conv_id", "block", "turn",
+        F.xxhash64("role", "body").alias("a"), F.xxhash64("body", "role", F.length("body")).alias("b"),
+        F.md5("role").alias("r"), F.md5("body").alias("t"),
+    )
     sizes = narrow.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
-    within = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "a", "b")
+    within = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "r", "t")
     ranked = _same(narrow.withColumn("k", F.row_number().over(within)), _before(sizes, "size", F.sum), ["conv_id", "block"])
     n = (F.col("k") + F.coalesce("before", F.lit(0))).cast("long").alias("n")
     return stage(
@@ -105,7 +108,7 @@ def render(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     clean = lambda c: F.replace(F.col(c), F.lit(OPEN), F.lit(SAFE))
     piece = F.concat(F.lit(OPEN), clean("role"), F.lit(CLOSE + "\n"), clean("body"), F.lit("\n"))
     kept = _same(turns(rows), chosen, ["conv_id"])
-    key = F.struct(F.col("turn").isNotNull(), "turn", F.xxhash64("role", "body"), F.xxhash64("body", "role", F.length("body")), piece)
+    key = F.struct(F.col("turn").isNotNull(), "turn", F.md5("role"), F.md5("body"), piece)
     made = kept.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(key)).alias("turns"))
     return made.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda t: t["col5"]), "").alias("chat"))
 
@@ -122,9 +125,9 @@ def op6_chats(spark, folder: str) -> DataFrame:
 
 SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, list({'r': role, 'b': body} ORDER BY turn NULLS FIRST, role, body) AS l,
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 'b': body} ORDER BY turn NULLS FIRST, md5(role), md5(body)) AS l,
     string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(body, '<|', '< |') || chr(10), ''
-        ORDER BY turn NULLS FIRST, role, body) AS chat FROM t GROUP BY conv_id),
+        ORDER BY turn NULLS FIRST, md5(role), md5(body)) AS chat FROM t GROUP BY conv_id),
 u AS (SELECT n, l, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(chat) AS chat FROM c GROUP BY n, l),
 p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM u))
 SELECT conv_id, n AS n_turns, n_copies, chat FROM u ANTI JOIN p USING (l)"""

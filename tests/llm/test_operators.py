@@ -303,6 +303,14 @@ def test_chat_cases(spark):
     assert chats.format_chats(df.limit(0)).count() == 0
 
 
+def test_tied_turns_are_ordered_as_in_the_sql(spark, tmp_path):
+    rows = [(1, 0, f"r{i % 3}", f"text {i}") for i in range(8)] + [(2, None, None, f"n{i}") for i in range(5)]
+    rows += [(3, 0, f"r{i % 3}", f"text {i}") for i in reversed(range(8))] + [(4, t // 2, "user", f"é{t}") for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.toPandas().astype({"turn": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    assert oracle.differences(chats.format_chats(df), oracle.connect(str(tmp_path)), chats.SQL) == ""
+
+
 def test_license_cases(odd):
     found = licenses.scan(odd).collect()
     assert [(r.doc_id, r.license, r.n_units, r.dice) for r in found] == [(8, "MIT", 2, 1.0)]
