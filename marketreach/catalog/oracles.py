@@ -530,6 +530,7 @@ SQL: dict[str, str] = {
     ),
     "register_job": JOB,
     "register_rebuild": JOB,
+    "register_refresh": JOB,
     "malformed_records": """SELECT '"' || s_suppkey || '";"' || s_name || '"' AS record FROM supplier WHERE s_suppkey % 10 = 0""",
     "landing_inventory": """
         SELECT CASE doc_id % 4 WHEN 0 THEN 'empresas' WHEN 1 THEN 'estabelecimentos' WHEN 2 THEN 'socios' ELSE 'auxiliares' END AS grupo,

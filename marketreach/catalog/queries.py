@@ -26,7 +26,7 @@ from marketreach.operators import (
     segments,
     uploads,
 )
-from marketreach.plans import register
+from marketreach.plans import landing, register
 from marketreach.plans.focus import run_coordinates, run_pending
 from marketreach.plans.reports import Cleaning, cleaned_market
 from marketreach.session import shared_folder, stage, tune
@@ -886,6 +886,21 @@ def register_rebuild(spark, folder):
     return _job_columns(register.rebuild_wide(spark, f"{root}/saida", f"{root}/tabelas"))
 
 
+@query
+def register_refresh(spark, folder):
+    """The wide table after two landings: even roots first, then the files of the odd ones."""
+    root = _folder(spark, "landing")
+    firms = _raw_companies(spark, folder).withColumn("razao_social", F.replace("razao_social", F.lit("#"), F.lit("\n")))
+    raw = {"empresas": firms, "estabelecimentos": _raw_establishments(spark, folder)}
+    for odd in (0, 1):
+        for name, rows in raw.items():
+            half = rows.where(F.pmod(F.trim("cnpj_basico").cast("long"), F.lit(2)) == odd)
+            half.write.mode("append").csv(f"{root}/{name}", sep=";", quoteAll=True, escape='"', emptyValue="")
+        paths = [f"{root}/{name}" for name in (*raw, "tabelas", "saida")]
+        landing.refresh(spark, *paths, line_breaks=True)
+    return _job_columns(landing.read_wide(spark, f"{root}/saida"))
+
+
 @query
 def malformed_records(spark, folder):
     """Records with a field too few, every tenth of the companies."""

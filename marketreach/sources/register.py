@@ -54,6 +54,26 @@ def read_register(
     return reader.option("mode", "DROPMALFORMED").csv(folder)
 
 
+def landed_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """`path, arquivo, bytes, alterado` of the files in a folder; the contents are not read."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(
+        "path", name.alias("arquivo"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("alterado")
+    )
+
+
+def read_files(
+    spark: SparkSession, paths: list[str], columns: list[str], line_breaks: bool = False
+) -> DataFrame:
+    """`read_register` of some files, with the name of each row's file as `arquivo`."""
+    if line_breaks:
+        rows = _parsed(spark, paths, columns, "*").where(F.col(f"row.{DROPPED}").isNull())
+        return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("file").alias("arquivo"))
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    return read_register(spark, paths, columns, "*").select(*columns, name.alias("arquivo"))
+
+
 def malformed(
     spark: SparkSession,
     folder: str,
