@@ -545,6 +545,19 @@ SQL: dict[str, str] = {
     "version_load": _sql(
         "SELECT CASE WHEN regiao = 1 THEN 'A' END AS segmentacao, count(*) AS qtd FROM seg LEFT JOIN reg USING (cnpj) GROUP BY 1", VENN
     ),
+    "segmentation_job": _sql(
+        """SELECT CASE regiao WHEN 1 THEN 'A' WHEN 3 THEN 'AB' END AS segmentacao, count(*) AS qtd
+           FROM seg LEFT JOIN reg USING (cnpj) GROUP BY 1""",
+        VENN,
+    ),
+    "venn3_through_register": _sql(
+        """
+        SELECT CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) AS regiao, count(*) AS n, round(sum(v), 2) AS valor
+        FROM (SELECT cnpj, bool_or(segmento = 'F' AND canal IN ('1-URGENT', '2-HIGH')) AS a,
+                     bool_or(segmento = 'O' AND canal IN ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')) AS b,
+                     cnpj IN (SELECT cnpj FROM est WHERE cnae_principal = '4705001') AS c, sum(valor) AS v
+              FROM upload GROUP BY cnpj) GROUP BY regiao"""
+    ),
     "coordinates_job": _sql(
         """
         SELECT cnpj, round(m.lat, 6) AS lat, round(m.lon, 6) AS lon

@@ -26,7 +26,7 @@ from marketreach.operators import (
     segments,
     uploads,
 )
-from marketreach.plans import landing, register
+from marketreach.plans import landing, register, segmentation
 from marketreach.plans.focus import run_coordinates, run_pending
 from marketreach.plans.reports import Cleaning, cleaned_market
 from marketreach.session import shared_folder, stage, tune
@@ -426,6 +426,7 @@ def distributor_value_rank(spark, folder):
 
 # ---- overlap of three sets ---------------------------------------------------------------------
 
+REGISTER_CODE = "4705001"
 SET_NAMES = ["F · 1-URGENT, 2-HIGH", "O · 2-HIGH a 4", "CNAE 4701"]
 
 
@@ -956,6 +957,27 @@ def version_load(spark, folder):
     return saved.groupBy(snapshots.LABEL).agg(F.count(F.lit(1)).alias("qtd"))
 
 
+@query
+def segmentation_job(spark, folder):
+    """Labels of the version that the segmentation job saves."""
+    rows = _segment_rows(spark, folder).select("linha", "cnpj", "canal", "segmento", "cnae_principal", "valor")
+    root = _folder(spark, "versions")
+    saved = segmentation.run_segmentation(
+        spark, rows, _members(rows), "cnpj", {1: "A", 3: "AB"}, root, "carteira", "regioes", "linha"
+    )
+    return snapshots.load_version(spark, root, "carteira", saved).groupBy(snapshots.LABEL).agg(F.count(F.lit(1)).alias("qtd"))
+
+
+@query
+def venn3_through_register(spark, folder):
+    """Regions of a customer list without activities: the third set comes from the register."""
+    found = segmentation.overlap(
+        V.upload(spark, folder), "CNPJ", "segmento", "canal", ("F", ["1-URGENT", "2-HIGH"]),
+        ("O", ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]), REGISTER_CODE, "valor", V.est(spark, folder),
+    )
+    return found.groupBy("regiao").agg(F.count(F.lit(1)).alias("n"), money(F.sum("valor")).alias("valor"))
+
+
 @query
 def coordinates_job(spark, folder):
     """Pending prefixes written, resolved, merged into the cache and put on the rows."""
