@@ -291,6 +291,26 @@ def test_url_cases(spark):
     assert urls.judge(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_whole_urls_are_scored(spark):
+    kinds = [(f"http://a{i}.org/x/{i}?q=science", f"http://b{i}.com/de/{i}?q=casino") for i in range(400)]
+    urls_ = [u for pair in kinds for u in pair]
+    asked = ["http://x.net/a?q=science", "http://x.net/a?q=casino", "/a?q=science", "/a?q=casino", "http://x.net/a#science"]
+    rows = [(i, u) for i, u in enumerate(urls_ + asked + [None, "", "http://x.net/?" + "casino" * 20_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = urls.judge(pages, ["page_id"]).sort("page_id").collect()[len(urls_) :]
+    science, casino, bare_science, bare_casino, fragment = [r.score for r in found[:5]]
+    assert min(science, fragment) > casino and bare_science > bare_casino
+    assert found[5].score == found[6].score and found[7].score < casino and found[7].verdict == "block"
+
+
+def test_threshold_uses_urls_outside_the_models(spark):
+    lines = spark.createDataFrame([(f"line{i}", 1, 0) for i in range(64)], "line string, accepted long, rejected long")
+    held = lines.filter(urls.held_out())
+    assert 0 < held.count() < 64
+    ratio = {r.gram: r.ratio for r in urls.ratios(held).collect()}
+    assert ratio and set(ratio.values()) == {0}  # nothing is learned from them, every trigram is known
+
+
 def test_chat_cases(spark):
     talk = [("user", "hi"), ("assistant", "yes <|user|>"), (None, None), ("user", "more")]
     rows = [(c, t, *talk[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1), (None, 3)) for t in range(n)]
