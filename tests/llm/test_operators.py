@@ -333,10 +333,38 @@ def test_tied_turns_are_ordered_as_in_the_sql(spark, tmp_path):
 
 def test_license_cases(odd):
     found = licenses.scan(odd).collect()
-    assert [(r.doc_id, r.license, r.n_units, r.dice) for r in found] == [(8, "MIT", 2, 1.0)]
+    assert [(r.doc_id, r.license, r.n_units, r.n_windows, r.dice) for r in found] == [(8, "MIT", 2, 2, 1.0)]
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_inside_other_text(spark, tmp_path):
+    gpl3, gpl2 = licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["GPL-2.0"][1]
+    isc, mit = licenses.TEMPLATES["ISC"][1], licenses.TEMPLATES["MIT"][1]
+    many = " ".join(f"word{i} of the" for i in range(400))
+    texts = {
+        1: "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        2: f"{many} {gpl3} {many}",
+        3: f"{many}\n{isc[:60]}\n{isc[60:]}\nother words follow here and go on for a while",
+        4: gpl2,
+        5: f"{mit} {mit} {gpl2} {many}",
+        6: f"{many} {gpl3.replace('modify', 'change')} tail",
+        7: many,
+        8: f"{many} Released under the MIT License",
+        9: None,
+    }
+    rows = [(i, t) for i, t in texts.items()] + [(2, texts[2]), (None, texts[1]), (4, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    found = {(r.doc_id, r.license): (r.n_windows, r.dice) for r in licenses.scan(docs).collect()}
+    changed = found.pop((6, "GPL-3.0"))
+    assert changed[0] == 1 and 0.9 < changed[1] < 1
+    assert found == {
+        (1, "CC-BY-4.0"): (1, 1.0), (None, "CC-BY-4.0"): (1, 1.0), (2, "GPL-3.0"): (1, 1.0), (3, "ISC"): (1, found[3, "ISC"][1]),
+        (4, "GPL-2.0"): (1, 1.0), (4, "MIT"): (1, 1.0), (5, "MIT"): (2, 1.0), (5, "GPL-2.0"): (1, 1.0), (8, "MIT"): (1, 1.0),
+    }
+    assert oracle.differences(licenses.scan(docs), oracle.connect(str(tmp_path)), licenses.SQL) == ""
+
+
 @pytest.mark.parametrize("name", ["op3_licenses", "op5_urls", "op6_chats", "op8_decontaminate"])
 def test_native_plans_run_no_python(spark, folder, name):
     plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
