@@ -208,6 +208,16 @@ SQL: dict[str, str] = {
             UNION ALL SELECT cnpj, 'nao_atendidos' FROM foco
             WHERE (cliente_atendido OR {NAMED}) AND (cliente_atendido OR NOT {KEYWORD})"""
     ),
+    "market_cleaned_by_index": _sql(
+        f"""SELECT cnpj, 'todos' AS regra FROM foco WHERE {NAMED} AND (cliente_atendido OR NOT {KEYWORD})
+            UNION ALL SELECT cnpj, 'nao_atendidos' FROM foco
+            WHERE (cliente_atendido OR {NAMED}) AND (cliente_atendido OR NOT {KEYWORD})"""
+    ),
+    "keyword_search": _sql(
+        """SELECT palavra, cnpj, count(*) AS linhas
+           FROM foco JOIN (VALUES ('ring'), ('red w'), ('ot'), ('g'), ('all bolt')) AS k(palavra)
+           ON contains(lower(nome_fantasia), palavra) GROUP BY palavra, cnpj"""
+    ),
     "served_by_subclass": _sql(
         """
         SELECT cnae_principal || ' – ' || left(cnae_principal_desc, 35) AS rotulo, count(DISTINCT cnpj) AS n_total,

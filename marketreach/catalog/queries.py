@@ -24,6 +24,7 @@ from marketreach.operators import (
     postal,
     ranking,
     segments,
+    textindex,
     uploads,
 )
 from marketreach.plans import landing, register, segmentation
@@ -39,6 +40,7 @@ REGISTRY: dict[str, Query] = {}
 
 CONTEXT = {"canal": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}
 KEYWORDS = ["Rïng", "bolt"]
+SEARCHED = ["Ring", "red w", "ot", "g", "all bolt"]
 RADIUS_KM = 150.0
 
 
@@ -121,6 +123,27 @@ def market_cleaned(spark, folder):
     )
 
 
+@query
+def market_cleaned_by_index(spark, folder):
+    """Both variants of the cleaned market, the keywords looked up in one index of the trade names."""
+    foco = V.foco(spark, folder)
+    names = textindex.build_index(foco, F.col("nome_fantasia"))
+    strict = textindex.drop_indexed_keywords(market.drop_blank_names(foco), names, KEYWORDS)
+    lenient = textindex.drop_indexed_keywords(market.drop_blank_names(foco, keep_served=True), names, KEYWORDS)
+    return strict.select("cnpj", F.lit("todos").alias("regra")).unionByName(
+        lenient.select("cnpj", F.lit("nao_atendidos").alias("regra"))
+    )
+
+
+@query
+def keyword_search(spark, folder):
+    """Focus rows per keyword and id, for long and short keywords in one pass over the postings."""
+    foco = V.foco(spark, folder)
+    names = textindex.build_index(foco, F.col("nome_fantasia"))
+    rows = textindex.rows_with_keywords(foco, F.col("nome_fantasia"), names, SEARCHED)
+    return rows.groupBy("palavra", "cnpj").agg(F.count(F.lit(1)).alias("linhas"))
+
+
 @query
 def served_by_subclass(spark, folder):
     out = market.served_by_code(V.foco(spark, folder))
