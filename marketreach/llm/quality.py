@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketreach.llm.arrow import map_texts
+from marketreach.session import stage
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -135,8 +136,14 @@ def op10_quality(spark, folder: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark, folder: str) -> DataFrame:
+    """What every policy keeps, whole and without each of its rules, from the stored ledger of all documents."""
+    held = stage(ledger(spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id"]))
+    return ablations(held)
+
+
 _BLANK = r"[^\x20\x09-\x0D]+"
-SQL = f"""
+_BITS = f"""
 WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 listed AS (SELECT n, doc_id, t, regexp_extract_all(t, '{_BLANK}') AS w,
     [x for x in string_split(t, chr(10)) if regexp_matches(x, '{_BLANK}')] AS l FROM docs),
@@ -148,7 +155,16 @@ measured AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines
     FROM listed LEFT JOIN covered USING (n)),
-bits AS (SELECT *, CAST({" + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))} AS BIGINT) AS failed FROM measured)
+bits AS (SELECT *, CAST({" + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))} AS BIGINT) AS failed FROM measured)"""
+SQL = f"""{_BITS}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed,
     failed & {POLICIES[0].mask} <> 0 AS base_failed, failed & {POLICIES[-1].mask | POLICIES[0].mask} = 0 AS kept
 FROM bits"""
+_TRIALS = ", ".join(
+    f"('{p.version}', {f"'{name}'" if name else 'NULL'}, {sum(1 << i for i, r in enumerate(RULES) if r.name in p.rules and r.name != name)})"
+    for p in POLICIES
+    for name in (None, *p.rules)
+)
+ABLATIONS_SQL = f"""{_BITS}
+SELECT version, without, CAST(count(*) FILTER (failed & mask = 0) AS BIGINT) AS n_kept, count(*) AS n_all
+FROM bits, (VALUES {_TRIALS}) AS trials(version, without, mask) GROUP BY version, without"""

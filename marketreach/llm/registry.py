@@ -32,6 +32,8 @@ QUERIES = {
     "op11_topk": topk.op11_topk,
     "op12_search": search.op12_search,
     "op13_trie": trie.op13_trie,
+    "quality_ablations": quality.quality_ablations,
+    "secrets_by_passes": secrets.secrets_by_passes,
 }
 
 SQL = {
@@ -43,4 +45,6 @@ SQL = {
     "op11_topk": topk.SQL,
     "op12_search": search.SQL,
     "op13_trie": trie.SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
+    "secrets_by_passes": secrets.SQL,
 }

@@ -189,11 +189,11 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def op2_secrets(spark, folder: str) -> DataFrame:
-    """Secrets of every document, from a ledger of its own."""
+def op2_secrets(spark, folder: str, ledger: Ledger | None = None) -> DataFrame:
+    """Secrets of every document, from a ledger of its own unless one is given."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     spans = F.coalesce("spans", F.array().cast(SPANS))
-    found = scan(docs, ["doc_id"]).select("doc_id", spans.alias("spans"))
+    found = scan(docs, ["doc_id"], ledger).select("doc_id", spans.alias("spans"))
 
     def of(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -204,6 +204,13 @@ def op2_secrets(spark, folder: str) -> DataFrame:
     )
 
 
+def secrets_by_passes(spark, folder: str) -> DataFrame:
+    """`op2_secrets` over a ledger that an older rule set has filled: only what it lacks is scanned."""
+    ledger = Ledger(spark)
+    ledger.scan(spark.read.parquet(f"{folder}/documents.parquet"), tuple(r for r in RULES if r.kind in BASE))
+    return op2_secrets(spark, folder, ledger)
+
+
 def _sql(rules: tuple[Rule, ...]) -> str:
     """DuckDB SQL for `op2_secrets`: matches are marked in the text and their places summed up."""
     parts = []
