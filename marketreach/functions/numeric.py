@@ -24,7 +24,9 @@ def small_int(c: Column) -> Column:
 
 def register_date(c: Column) -> Column:
     """Timestamp from `YYYYMMDD`; blanks, zeros and impossible dates are NULL."""
-    return F.try_to_timestamp(F.trim(c), F.lit("yyyyMMdd"))
+    text = F.trim(c)
+    # most columns hold little else than these, and a failed parse costs much more than a good one
+    return F.when(~text.isin("", "0", "00000000"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

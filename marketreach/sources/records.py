@@ -21,16 +21,15 @@ def numbered_lines(spark: SparkSession, folder: str, pattern: str = "*", encodin
     """file, start (of the range in the file), at (rising within a range), line and odd (its quotes)."""
     raw = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder)
     text = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit(QUOTE), F.lit("")))
-    return (
-        raw.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("at"),
-            text.alias("line"),
-        )
-        .withColumn("odd", quotes % 2 == 1)
-    )
+    # a quote is one byte in every encoding whose line end is one, so the text need not be decoded for it
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit(QUOTE), F.lit("")))
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        text.alias("line"),
+        (quotes % 2 == 1).alias("odd"),
+    )
 
 
 def range_parity(lines: DataFrame) -> DataFrame:
@@ -44,7 +43,9 @@ def range_parity(lines: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, folder: str, pattern: str = "*", encoding: str = "UTF-8") -> DataFrame:
     """file, start, at (the place of the record's first line) and record; blank lines between records go."""
     lines = numbered_lines(spark, folder, pattern, encoding)
-    marked = lines.join(range_parity(lines), ["file", "start"])
+    # one row per range of a file, whatever its lines: without the hint Spark takes it for as large as
+    # they are and moves them all
+    marked = lines.join(F.broadcast(range_parity(lines)), ["file", "start"])
     calm = marked.where("calm").select("file", "start", "at", F.col("line").alias("record"))
 
     within = Window.partitionBy("file", "start").orderBy("at")
@@ -58,7 +59,7 @@ def read_records(spark: SparkSession, folder: str, pattern: str = "*", encoding:
     carried = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     held = F.when(F.col("_last").isNotNull(), F.struct(F.col("start").alias("s"), F.col("_last").alias("a")))
     open_ = starts.withColumn("_open", F.last(held, ignorenulls=True).over(carried)).select("file", "start", "_open")
-    placed = own.join(open_, ["file", "start"]).withColumn(
+    placed = own.join(F.broadcast(open_), ["file", "start"]).withColumn(
         "_key",
         F.when(F.col("_first").isNotNull(), F.struct(F.col("start").alias("s"), F.col("_first").alias("a"))).otherwise(F.col("_open")),
     )
@@ -66,5 +67,7 @@ def read_records(spark: SparkSession, folder: str, pattern: str = "*", encoding:
     joined = placed.groupBy("file", "_key").agg(parts.alias("_parts")).select(
         "file", F.col("_key.s").alias("start"), F.col("_key.a").alias("at"), F.array_join("_parts.line", "\n").alias("record")
     )
-    every = calm.unionByName(joined).withColumn("record", F.regexp_replace("record", r"\r$", ""))
+    ended = F.when(F.contains("record", F.lit("\r")), F.regexp_replace("record", r"\r$", "")).otherwise(F.col("record"))
+    joined = joined.sortWithinPartitions("file", "start", "at")  # records put together come as hashes fall
+    every = calm.unionByName(joined).withColumn("record", ended)
     return every.where(F.trim("record") != "")

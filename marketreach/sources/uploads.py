@@ -60,7 +60,7 @@ def _with_line_breaks(spark: SparkSession, path: str, row_order: bool) -> DataFr
     most = header.select(width).first()[0]
     cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(most)), options)
     names = [n for n in header.select(cells.alias("r")).select("r.*").first() if n is not None]
-    rows = found.join(heads, "file").where(F.struct("start", "at") != F.col("head"))
+    rows = found.join(F.broadcast(heads), "file").where(F.struct("start", "at") != F.col("head"))
     schema = ", ".join(f"`{n}` string" for n in names)
     row = rows.select("file", "start", "at", F.from_csv("record", schema, options).alias("row"))
     # the place of a record in its file orders it; files follow each other by name
@@ -69,7 +69,7 @@ def _with_line_breaks(spark: SparkSession, path: str, row_order: bool) -> DataFr
     if not row_order:
         return row.select("row.*")
     order = (F.col("_f") * (1 << 50) + F.col("at")).alias(ROW_ORDER)
-    return row.join(number, "file").select("row.*", order)
+    return row.join(F.broadcast(number), "file").select("row.*", order)
 
 
 def guess_key_column(columns: list[str]) -> str:

@@ -92,3 +92,32 @@ def test_upload_with_line_breaks_keeps_its_order(spark, tiny_ranges, tmp_path):
     df = read_upload(spark, str(tmp_path / "up.csv"), row_order=True, line_breaks=True)
     assert df.columns == ["CNPJ", "nome; de", "_row"]
     assert [[r["CNPJ"], r["nome; de"]] for r in df.orderBy("_row").collect()] == rows
+
+
+def test_lines_do_not_move_to_meet_their_range(spark, tmp_path):
+    """However large the text: the ranges are few, whatever Spark makes of the size of what they come from."""
+    _file(tmp_path / "in" / "calm.csv", [[str(k), "plain", "z"] for k in range(50)])
+    _file(tmp_path / "in" / "mixed.csv", [[str(k), "two\nlines", "z"] for k in range(50, 60)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    try:
+        for names in (["calm.csv"], ["calm.csv", "mixed.csv"]):
+            found = read_records(spark, [str(tmp_path / "in" / n) for n in names])
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert found.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    _file(tmp_path / "in" / "f.csv", [["1", "a", "b"]])
+    plan = read_register(spark, str(tmp_path / "in"), COLUMNS, line_breaks=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
+
+
+def test_quotes_are_counted_beside_letters_of_another_encoding(spark, tmp_path):
+    rows = [["1", "\xe9", "x\xf4"], ["2", "\xe3\n\xe9", "y"], ["3", "", "z"]]
+    _file(tmp_path / "in" / "f.csv", rows)
+    assert [r.odd for r in numbered_lines(spark, str(tmp_path / "in"), "*", "ISO-8859-1").orderBy("at").collect()] == [False, True, True, False]
+    assert _plain(read_register(spark, str(tmp_path / "in"), COLUMNS, line_breaks=True).collect()) == _plain(rows)
