@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketreach import layouts as L
@@ -14,7 +14,7 @@ from marketreach.functions.predicates import is_active
 from marketreach.functions.text import pad_code
 from marketreach.operators.joins import describe, keep_one, own_exchange
 from marketreach.session import tune
-from marketreach.sources.exports import write_table
+from marketreach.sources.exports import is_written, write_table
 from marketreach.sources.register import load_lookups, malformed, read_register, read_simples
 
 ESTABLISHMENT_DATES = ["data_situacao_cadastral", "data_inicio_atividade", "data_situacao_especial"]
@@ -189,34 +189,47 @@ def run_register(
 
     `line_breaks` is for extracts whose quoted fields hold line breaks; their quotes must be balanced.
     `report_dropped` writes the records with a wrong number of fields (`tabela, file, record`), at the
-    price of one more pass over the text files.
+    price of one more pass over the text files; with `line_breaks`, which counts such records while it
+    reads, of those tables only that have some.
 
     Stages are written as Parquet and read back, so the text files are parsed once and a lost
     executor repeats only its part of the stage. `companies_mode="ignore"` keeps an existing stage.
     """
     tune(spark)
     lookups = load_lookups(spark, lookups_dir)
-    raw_companies = read_register(spark, companies_dir, L.COMPANIES, line_breaks=line_breaks)
-    raw_establishments = read_register(spark, establishments_dir, L.ESTABLISHMENTS, line_breaks=line_breaks)
+    extracts = {
+        "empresas": (companies_dir, L.COMPANIES),
+        "estabelecimentos": (establishments_dir, L.ESTABLISHMENTS),
+    }
+    if include_partners:
+        extracts["socios"] = (partners_dir, L.PARTNERS)
+    counted: dict[str, Observation] = {}
+    if report_dropped and line_breaks:
+        # a stage that is kept is not read, so nothing is counted for it
+        kept = {"empresas"} if companies_mode == "ignore" and is_written(spark, f"{output}/empresas") else set()
+        counted = {name: Observation() for name in extracts if name not in kept}
+    raw = {
+        name: read_register(spark, *extract, line_breaks=line_breaks, dropped=counted.get(name))
+        for name, extract in extracts.items()
+    }
     paths = {
         "empresas": write_table(
-            companies(raw_companies, lookups), f"{output}/empresas", companies_mode
+            companies(raw["empresas"], lookups), f"{output}/empresas", companies_mode
         ),
         "estabelecimentos": write_table(
-            establishments(raw_establishments, only_active), f"{output}/estabelecimentos"
+            establishments(raw["estabelecimentos"], only_active), f"{output}/estabelecimentos"
         ),
     }
     if include_partners:
-        raw_partners = read_register(spark, partners_dir, L.PARTNERS, line_breaks=line_breaks)
-        paths["socios"] = write_table(partners(raw_partners, lookups), f"{output}/socios")
+        paths["socios"] = write_table(partners(raw["socios"], lookups), f"{output}/socios")
     if report_dropped:
-        read = [("empresas", companies_dir, L.COMPANIES), ("estabelecimentos", establishments_dir, L.ESTABLISHMENTS)]
-        read += [("socios", partners_dir, L.PARTNERS)] if include_partners else []
         dropped = [
-            malformed(spark, folder, columns, line_breaks=line_breaks).select(F.lit(name).alias("tabela"), "file", "record")
-            for name, folder, columns in read
+            malformed(spark, *extract, line_breaks=line_breaks).select(F.lit(name).alias("tabela"), "file", "record")
+            for name, extract in extracts.items()
+            if name not in counted or counted[name].get["n"] > 0
         ]
-        paths["descartados"] = write_table(reduce(DataFrame.unionByName, dropped), f"{output}/descartados")
+        none = spark.range(0).select(*[F.lit("").alias(c) for c in ("tabela", "file", "record")])
+        paths["descartados"] = write_table(reduce(DataFrame.unionByName, dropped, none), f"{output}/descartados")
 
     raw_simples = read_simples(spark, lookups_dir, line_breaks) if include_simples else None
     wide = wide_table(

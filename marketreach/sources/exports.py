@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,17 @@ def write_table(
     return path
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, so that `write_table` with `mode="ignore"` would keep it."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def _plain_decimal(c: Column) -> Column:
     """Text of a double without exponent in the range where readers expect plain digits."""
     wide = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"0+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketreach import layouts as L
@@ -31,8 +31,9 @@ def _parsed(spark: SparkSession, folder: str, columns: list[str], pattern: str)
     schema = ", ".join(f"`{c}` string" for c in [*columns, DROPPED])
     options = {**FORMAT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": DROPPED, "columnPruning": "false"}
     found = read_records(spark, folder, pattern, ENCODING)
-    row = F.from_csv("record", schema, options)
-    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "record", row.alias("row"))
+    # as a generator a record is parsed once: a filter on its fields does not parse it again below
+    row = F.explode(F.array(F.from_csv("record", schema, options)))
+    return found.select(F.substring_index("file", "/", -1).alias("file"), "record", row.alias("row"))
 
 
 def read_register(
@@ -41,14 +42,19 @@ def read_register(
     columns: list[str],
     pattern: str = "*.csv",
     line_breaks: bool = False,
+    dropped: Observation | None = None,
 ) -> DataFrame:
     """All files of a folder as text columns; rows with too few or too many fields are dropped.
 
     `malformed` gives the dropped rows. With `line_breaks`, quoted fields may hold line breaks; the
-    files are split all the same (`sources.records`).
+    files are split all the same (`sources.records`), and `dropped` counts the dropped rows as `n`
+    while the first action runs.
     """
     if line_breaks:
-        rows = _parsed(spark, folder, columns, pattern).where(F.col(f"row.{DROPPED}").isNull())
+        rows = _parsed(spark, folder, columns, pattern)
+        if dropped is not None:
+            rows = rows.observe(dropped, F.count_if(F.col(f"row.{DROPPED}").isNotNull()).alias("n"))
+        rows = rows.where(F.col(f"row.{DROPPED}").isNull())
         return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
     reader = _csv(spark, pattern).schema(L.text_schema(columns))
     return reader.option("mode", "DROPMALFORMED").csv(folder)

@@ -177,3 +177,28 @@ def test_no_record_is_dropped_unseen(spark, landing, tmp_path):
     assert sorted(tuple(r) for r in whole.collect()) == [("1", "duas\nlinhas"), ("2", "uma")]
     assert malformed(spark, where, ["a", "b"], line_breaks=True).count() == 0
     assert malformed(spark, where, ["a", "b"]).count() > 0
+
+
+def test_tables_without_wrong_records_are_read_once(spark, landing, tmp_path, monkeypatch):
+    """With line breaks such records are counted while the stage is written; only tables that hold some are read again."""
+    again = []
+    monkeypatch.setattr(register, "malformed", lambda s, folder, *a, **o: again.append(folder) or malformed(s, folder, *a, **o))
+
+    def job():
+        return register.run_register(
+            spark, *[str(landing / d) for d in ("empresas", "estab", "socios", "aux")], str(tmp_path / "out"), line_breaks=True
+        )
+
+    paths = job()
+    dropped = sorted((r.tabela, r.file) for r in spark.read.parquet(paths["descartados"]).collect())
+    assert dropped == [("empresas", "Empresas0.csv")] * 2 and again == [str(landing / "empresas")]
+    write(landing / "estab" / "Estabelecimentos1.csv", ['"1";"so dois"'])
+    del again[:]
+    job()  # the stage of the companies is kept, so nothing is counted for it
+    found = sorted((r.tabela, r.file) for r in spark.read.parquet(paths["descartados"]).collect())
+    assert found == [*dropped, ("estabelecimentos", "Estabelecimentos1.csv")] and len(again) == 2
+    write(landing / "empresas" / "Empresas0.csv", ['"2";"BETA";"9999";"50";"1,00";"3";""'])
+    (landing / "estab" / "Estabelecimentos1.csv").write_text("")
+    job()
+    assert spark.read.parquet(paths["descartados"]).count() == 0
+    assert spark.read.parquet(paths["descartados"]).columns == ["tabela", "file", "record"]
