@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from marketreach import layouts as L
 from marketreach.functions.text import pad_code
 from marketreach.plans.register import companies, establishments, simples_regime, wide_table
-from marketreach.session import tune
+from marketreach.session import OPEN_FILES, tune
 from marketreach.sources.register import landed_files, load_lookups, read_files, read_simples
 from marketreach.sources.snapshots import create_once
 
@@ -101,6 +101,12 @@ def _raw_range() -> Column:
     return root_range(pad_code(F.col("cnpj_basico"), 8))
 
 
+def _placed(wide: DataFrame, n_ranges: int) -> DataFrame:
+    """Rows with their range, as they are written: of few ranges a task writes few files, so they need not move."""
+    rows = wide.withColumn(RANGE, root_range(F.col("cnpj_basico")))
+    return rows if n_ranges <= OPEN_FILES else rows.hint("rebalance", RANGE)
+
+
 def refresh(
     spark: SparkSession,
     companies_dir: str,
@@ -152,8 +158,7 @@ def refresh(
     wide = wide_table(
         establishments(own[PLACES], only_active), companies(own[FIRMS], lookups), lookups, regime, dedupe=dedupe
     )
-    placed = wide.withColumn(RANGE, root_range(F.col("cnpj_basico"))).hint("rebalance", RANGE)
-    placed.write.partitionBy(RANGE).option("compression", "snappy").parquet(f"{output}/base/{BATCH}={batch}")
+    _placed(wide, len(ranges)).write.partitionBy(RANGE).option("compression", "snappy").parquet(f"{output}/base/{BATCH}={batch}")
 
     record = {
         "rodada": number,

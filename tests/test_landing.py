@@ -96,3 +96,10 @@ def test_a_refresh_that_fails_is_invisible(spark, landed, monkeypatch):
 def test_nothing_landed(spark, tmp_path):
     with pytest.raises(LookupError):
         landing.read_wide(spark, str(tmp_path / "none"))
+
+
+def test_few_ranges_are_written_where_they_are(spark):
+    wide = spark.range(10).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("cnpj_basico"))
+    moved = {n: "Rebalance" in landing._placed(wide, n)._jdf.queryExecution().analyzed().toString() for n in (1, 4, 500)}
+    assert moved == {1: False, 4: False, 500: True}
+    assert {r.faixa for r in landing._placed(wide, 1).collect()} == {"000"}
