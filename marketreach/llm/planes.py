@@ -42,7 +42,10 @@ HELD = 1_000_000  # words a task remembers
 JOINED = 256  # words encoded as one text
 BATCH = 4096
 SLICE = 1_000_000
-ENDS = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")  # a sign the tokenizer cuts off anyway
+ENDS = re.compile(r"[.,;:!?](?<=[a-zß-öø-ÿ].)(?![^ \n])")  # a sign the tokenizer cuts off anyway
+LATIN = re.compile(r"[\x00-\xff]*")  # letters that the normaliser lower-cases one by one and else leaves alone
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")  # a word that is one piece for the tokenizer
+LAST = "</w>"  # end of the last token of a piece
 MARK = "\x01"  # between words of one text; a word of its own, with an id that no other word has
 
 
@@ -67,10 +70,13 @@ class Words:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # lower-case ASCII words are the same before and after the normaliser
+        # lower-case Latin-1 words are the same before and after the normaliser
         self.light = Tokenizer.from_file(path)
         self.light.normalizer = normalizers.Sequence([])
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith(LAST)]] = True
         self.held: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str], light: bool = False) -> list[np.ndarray]:
@@ -82,18 +88,27 @@ class Words:
         """Encode words: many as one text where its marks cut it into as many pieces."""
         alone = [w for w in words if MARK in w or "<|" in w]  # a special token is found in raw text only
         rest = [w for w in words if MARK not in w and "<|" not in w]
-        plain = [w for w in rest if w.isascii() and w == w.lower()]
+        whole = [w for w in rest if LETTERS.fullmatch(w)]
+        mixed = [w for w in rest if not LETTERS.fullmatch(w)]
+        plain = [w for w in mixed if w == w.lower() and (w.isascii() or LATIN.fullmatch(w))]
         (mark,) = self._ids([MARK])
-        for light, chosen in ((True, plain), (False, list(set(rest) - set(plain)))):
+        for kind, chosen in (("whole", whole), ("plain", plain), ("rest", list(set(mixed) - set(plain)))):
+            between = " " if kind == "whole" else f" {MARK} "
             for at in range(0, len(chosen), BATCH):
                 part = chosen[at : at + BATCH]
                 groups = [part[i : i + JOINED] for i in range(0, len(part), JOINED)]
-                for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups], light)):
-                    cuts = np.flatnonzero(ids == mark[0]).tolist() if len(mark) == 1 else []
-                    if len(cuts) == len(group) - 1:
+                for group, ids in zip(groups, self._ids([between.join(g) for g in groups], kind != "rest")):
+                    if kind == "whole":
+                        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                        starts = [0, *ends[:-1]]
+                        fits = len(ends) == len(group) and ends[-1] == len(ids)
+                    else:
+                        cuts = np.flatnonzero(ids == mark[0]).tolist() if len(mark) == 1 else []
+                        starts, ends = [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]
+                        fits = len(cuts) == len(group) - 1
+                    if fits:
                         data, k = ids.tobytes(), ids.itemsize
-                        bounds = zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])
-                        self.held.update((w, data[k * a : k * b]) for w, (a, b) in zip(group, bounds))
+                        self.held.update((w, data[k * a : k * b]) for w, a, b in zip(group, starts, ends))
                     else:
                         alone += group
         for at in range(0, len(alone), BATCH):
@@ -104,8 +119,10 @@ class Words:
     def _words(text: str | None) -> list[str]:
         """Words cut at blanks and line ends only; other white space is left to the tokenizer."""
         text = text or ""
-        if text.isascii() and "<|" not in text:
-            text = ENDS.sub(r" \1", text.lower())
+        if "<|" not in text:
+            if text.isascii() or LATIN.fullmatch(text):
+                text = text.lower()
+            text = ENDS.sub(r" \g<0>", text)
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
