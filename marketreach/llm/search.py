@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from marketreach.llm.blocks import Best, blocks_of, id_arrays, merged, numbered, once, passes, stage_blocks
 from marketreach.session import stage
 
-SLICE = 8_000_000  # bytes of text cut into terms at a time
+SLICE = 4_000_000  # bytes of text cut into terms at a time
 DOCS = 1 << 20  # most documents of a block
 ITEM_TERMS = 1 << 16  # terms of a block of items
 ITEM_BYTES = 1 << 21
@@ -95,7 +95,7 @@ class Postings:
             self.terms = every.dictionary
         self.docs = (key % n).astype(np.int32)
         self.dfs = np.bincount(key // n, minlength=len(self.terms))
-        self.tfs = counts.astype(np.int64)
+        self.tfs = counts.astype(np.int32)  # a text has less than 2^31 bytes
 
 
 def index(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,7 +183,7 @@ class Block:
         self.ids, self.nulls = id_arrays(ids)
         self.terms = terms
         self.first = np.concatenate(([0], np.cumsum(dfs)))
-        self.docs, self.tfs = np.frombuffer(docs, np.int32), np.frombuffer(tfs, np.int64)
+        self.docs, self.tfs = np.frombuffer(docs, np.int32), np.frombuffer(tfs, np.int32)
         self.norm = 8 * (10 + 90 * np.frombuffer(sizes, np.int64) * n // total)
         self.held: dict[int, tuple] = {}
 
@@ -191,7 +191,7 @@ class Block:
         """Documents of a term, what an occurrence of weight 1 adds to each, and the most of that."""
         if at not in self.held:
             span = slice(self.first[at], self.first[at + 1])
-            docs, tf = self.docs[span], self.tfs[span]
+            docs, tf = self.docs[span], self.tfs[span].astype(np.int64)
             gain = 1_000_000_000 * tf // (1000 * tf + self.norm[docs])
             self.held[at] = docs, gain, int(gain.max())
         return self.held[at]

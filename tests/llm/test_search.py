@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from marketreach.llm import search
+from marketreach.llm import blocks, search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,3 +102,31 @@ def test_few_accumulators():
     made = search.rank(block, [names.index(b"rare"), names.index(b"common")], [5000, 1], best, *blank)
     assert made == 12 and best.ids.tolist() == list(range(10))
     assert not blank[0].any() and not blank[1].any()
+
+
+def test_row_groups_of_blocks_are_bounded(spark):
+    """Blocks of one task reach a reader in row groups of a few of them, however many the task has."""
+    n = 40
+    rows = spark.range(n, numPartitions=1).select(
+        "id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16_000)), lambda i: F.sha2((i + F.col("id")).cast("string"), 256)), " ").alias("t")
+    )
+    written = blocks.stage_blocks(rows)
+    groups = [
+        meta.row_group(g)
+        for path in written.inputFiles()
+        for meta in [pq.ParquetFile(path.removeprefix("file://")).metadata]
+        for g in range(meta.num_row_groups)
+    ]
+    assert sum(g.num_rows for g in groups) == n
+    assert max(g.total_byte_size for g in groups) < 20_000_000
+    assert sorted(r.id for r in written.select("id").collect()) == list(range(n))
+
+
+def test_blocks_of_one_task(spark, monkeypatch):
+    """Many blocks in one task, and occurrences that are kept in four bytes, give the scores of brute force."""
+    monkeypatch.setattr(search, "SLICE", 1000)
+    docs = [(i, f"w{i % 7} w{i % 11} " + "v " * (i % 5) + "u" * 40) for i in range(2000)] + [(5000, "w3 " * 70_000)]
+    items = [(1, "w3 v"), (2, "w10 u"), (3, "v")]
+    some, many = _frames(spark, items, docs)
+    assert search.index(many.coalesce(1)).count() > 50
+    assert _got(search.search(some, many.coalesce(1))) == _brute(items, docs)
